@@ -1,0 +1,4 @@
+"""Queries over the test tables, with equivalent SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}

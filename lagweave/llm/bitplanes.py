@@ -37,7 +37,10 @@ from .shared import cut, new_path, open_shared, publish_shared
 MAGIC = b"BPL1"
 BLOCK = 1 << 16
 MARKS = re.compile("[̀-ͯ]")
-TRAILING = re.compile(rb"(?<=[a-z])([.,;:!?]+)(?=[\x20\x09-\x0d]|$)")
+# lower-case Latin-1 letters in UTF-8, then perhaps closing punctuation: such words pass the
+# normaliser unchanged and are one or two pre-tokens
+PLAIN_WORD = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?]*)")
+PROBES = ("a", "word", "thing,", "\u00e9t\u00e9", "stra\u00dfe...", "na\u00efvely?!")
 
 
 def pack(ids: np.ndarray, planes: str = "byte") -> list[bytes]:
@@ -129,11 +132,20 @@ def read_shard(file) -> Iterator[tuple[int | None, int, int, int]]:
         start += n
 
 
+def byte_characters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write for bytes: printable Latin-1 for
+    itself, the others numbered from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordEncoder:
     """Ids of texts for tokenizer files whose splits stay inside white-space-separated words.
 
-    New words are encoded together with a separator between them; ``limit`` bounds the table,
-    which is emptied when full."""
+    New plain words go straight to the BPE model, if that gives the probes the ids of the
+    whole pipeline; all others go through the pipeline together, with a separator between
+    them.  ``limit`` bounds the table of words, which is emptied when full."""
 
     SEPARATOR = "\x01"
 
@@ -143,39 +155,57 @@ class WordEncoder:
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.mark = self._plain(self.SEPARATOR)
-        self.limit, self.seen = limit, {}
+        self.tokenize = self.inner.model.tokenize
+        self.mark = self._piped(self.SEPARATOR)
+        self.limit, self.seen, self.tails, self.chars = limit, {}, {b"": b""}, byte_characters()
+        self.direct = True
+        self.direct = all(self._plain(w.encode("utf-8")) == np.array(self._piped(w), "<u4").tobytes() for w in PROBES)
 
-    def _plain(self, text: str) -> list[int]:
+    def _piped(self, text: str) -> list[int]:
         return self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _plain(self, word: bytes) -> bytes | None:
+        match = PLAIN_WORD.fullmatch(word) if self.direct else None
+        if match is None:
+            return None
+        letters, tail = match.groups()
+        if tail not in self.tails:
+            self.tails[tail] = np.array(self._piped(tail.decode()), "<u4").tobytes()
+        known = self.seen.get(letters)
+        if known is None:
+            ids = [t.id for t in self.tokenize(letters.decode("latin-1").translate(self.chars))]
+            known = self.seen[letters] = struct.pack(f"<{len(ids)}I", *ids)
+        return known + self.tails[tail]
+
     def _learn(self, new: list[bytes]) -> None:
-        odd = [w for w in new if b"\x01" in w]
-        new = [w for w in new if b"\x01" not in w]
-        if len(self.mark) == 1:
-            for at in range(0, len(new), 2000):
-                some = new[at : at + 2000]
-                ids = np.array(self._plain(f" {self.SEPARATOR} ".join(w.decode("utf-8") for w in some)), "<u4")
-                ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
-                if len(ends) != len(some):
-                    odd += some
-                    continue
-                begins = np.append(0, ends[:-1] + 1)
-                raw = ids.tobytes()
-                self.seen.update(zip(some, (raw[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist(), strict=True)), strict=True))
-        else:
-            odd += new
+        other = []
+        for word in new:
+            ids = self._plain(word)
+            if ids is None:
+                other.append(word)
+            else:
+                self.seen[word] = ids
+        odd = [w for w in other if b"\x01" in w or len(self.mark) != 1]
+        other = [w for w in other if b"\x01" not in w and len(self.mark) == 1]
+        for at in range(0, len(other), 2000):
+            some = other[at : at + 2000]
+            ids = np.array(self._piped(f" {self.SEPARATOR} ".join(w.decode("utf-8") for w in some)), "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)) if some else []
+            if len(ends) != len(some):
+                odd += some
+                continue
+            raw, begins = ids.tobytes(), np.append(0, ends[:-1] + 1)
+            self.seen.update(zip(some, (raw[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist(), strict=True)), strict=True))
         for word in odd:
-            self.seen[word] = np.array(self._plain(word.decode("utf-8")), "<u4").tobytes()
+            self.seen[word] = np.array(self._piped(word.decode("utf-8")), "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = []
         for text in texts:
             raw = (text or "").encode("utf-8")
-            if text and not MARKS.search(text):  # ASCII letters may be lowered first unless a mark could join them
-                raw = TRAILING.sub(rb" \1", raw.lower())
-            split.append(raw.split())
+            # ASCII letters may be lowered first unless a mark could join them
+            split.append(raw.lower().split() if text and not MARKS.search(text) else raw.split())
         if len(self.seen) > self.limit:
             self.seen = {}
         new = set().union(*split).difference(self.seen) if split else ()

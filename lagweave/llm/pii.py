@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, release
+from .shared import cut, release, shuffle_count
 
 # Titles by gender, given names by script and gender, syllables by script.
 TITLES = {"m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "г-н", "κ."), "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "κα")}
@@ -121,7 +121,9 @@ def _luhn(digits: Column) -> Column:
 def replacements(values: DataFrame, key: str) -> DataFrame:
     """(kind, canon), distinct, to (kind, canon, sur); distinct within a kind, and no value of
     the corpus.  Only clashing values are drawn again; each round is written."""
-    drawn = cut(values.select("kind", "canon", F.lit(0).alias("attempt"), _draw(F.col("kind"), F.col("canon"), F.lit(0), key).alias("sur")), "pii-values")
+    # distinct values are few bytes and much work: spread them over all tasks
+    spread = values.repartition(shuffle_count(values.sparkSession), "kind", "canon")
+    drawn = cut(spread.select("kind", "canon", F.lit(0).alias("attempt"), _draw(F.col("kind"), F.col("canon"), F.lit(0), key).alias("sur")), "pii-values")
     known = values.select(F.col("kind").alias("k"), F.col("canon").alias("c"))
     for _ in range(MAX_ATTEMPTS):
         order = Window.partitionBy("kind", "sur").orderBy("attempt", "canon")

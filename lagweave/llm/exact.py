@@ -98,7 +98,8 @@ def groups(docs: DataFrame, id_col="doc_id", text_col="text", whole_rows: bool =
     word = F.pmod(F.shiftrightunsigned("fp", 6), F.lit(BLOOM_WORDS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("fp"), F.lit(64)).cast("int"))
     bitmap = F.broadcast(more.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")))
-    routed = lambda df: df.withColumn("word", word).join(bitmap, "word").filter(F.col("bits").bitwiseAND(bit) != 0)
+    marked = lambda df: df.withColumn("word", word).join(bitmap, "word", "left").withColumn("routed", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False)))
+    routed = lambda df: marked(df).filter("routed")
     # byte verification: equal texts group together map-side, so one text per task and group is moved
     verified = routed(plain.select("norm", F.xxhash64("norm").alias("fp"))).groupBy("fp", "norm").agg(F.count("*").alias("n")).filter("n > 1")
     texts = verified.select("fp", F.sha2("norm", 256).alias("sha"), "n")
@@ -106,10 +107,13 @@ def groups(docs: DataFrame, id_col="doc_id", text_col="text", whole_rows: bool =
         F.min(F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"))).alias("b"))
     # written, so that the join below has an exchange of its own on either side, which AQE can split
     known = cut(texts.join(best, ["fp", "sha"]).select("fp", "sha", F.col("n").alias("group_size"), F.col("b.doc_id").alias("keep_id"), F.col("b.rid").alias("keep_rid")), "exact-groups")
-    joined = slim.join(known, ["fp", "sha"], "left")
-    return joined.select(
+    # only routed rows are moved to meet their group; all others are known to be single
+    met = routed(slim).join(known, ["fp", "sha"], "left")
+    alone = marked(slim).filter(~F.col("routed")).withColumns({"group_size": F.lit(1), "keep_id": F.lit(None), "keep_rid": F.lit(None)})
+    shape = lambda df: df.select(
         "doc_id", F.when(F.col("keep_rid").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("keep_rid").isNull() | (F.col("keep_rid") == F.col("rid"))).alias("kept"), F.col("sha").alias("text_sha256"), *(["row"] if row else []))
+    return shape(alone).unionByName(shape(met))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

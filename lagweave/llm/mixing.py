@@ -106,7 +106,8 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     totals = cells.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("total"), F.sum("n").alias("docs"))
     goals = cut(targets(totals.select("skey", "total"), cap).join(totals.select("skey", "docs"), "skey"), "mix-goals")
     state = solve_rates(cut(cells.filter("size > 0"), "mix-cells"), goals, cap)
-    lam = state.select("skey", "lam", "mean")
+    # rounded, so that the order in which sums were made cannot show
+    lam = state.select("skey", F.when(F.col("lam") == float("inf"), F.col("lam")).otherwise(F.round("lam", 9)).alias("lam"), "mean")
     rated = cells.join(goals.select("skey", "total", "target"), "skey").join(lam, "skey", "left").withColumn(
         "rate", F.when(F.col("size") == 0, 1.0).when(F.col("target") == 0, 0.0).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0))))))
     upto = F.round(F.sum(F.col("n") * F.col("rate")).over(Window.partitionBy("skey").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)), 6)

@@ -8,7 +8,8 @@ for which an encoding is inferred and three tests are made:
 * chi-squared uniformity: the statistic k/L * sum(n_c^2) - L against its value for natural
   text of the same length and encoding, whose letters coincide with probability
   ``NATURAL_MATCH``; low values are evidence of a key;
-* runs: changes of character class against the few changes natural words have;
+* runs: changes between small letters, capitals and digits, of which natural words have few
+  (separators do not count, or paths would look like keys);
 * serial correlation of neighbouring characters: runs such as "abcdefgh" are uniform but
   ordered, and are vetoed.
 
@@ -78,7 +79,7 @@ def battery(hits: DataFrame) -> DataFrame:
     mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
     stats = stats.withColumn("mean", mean).withColumn("chi2", F.col("alphabet") / n * F.col("squares") - n)
     stats = stats.withColumns({
-        "changes": F.aggregate(pairs, F.lit(0.0), lambda s, i: s + (k[i] != k[i - 1]).cast("double")),
+        "changes": F.aggregate(pairs, F.lit(0.0), lambda s, i: s + ((k[i] != k[i - 1]) & (k[i] < 3) & (k[i - 1] < 3)).cast("double")),
         "spread": F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))),
         "lagged": F.aggregate(pairs, F.lit(0.0), lambda s, i: s + (v[i] - F.col("mean")) * (v[i - 1] - F.col("mean")))})
     natural_pairs = n * (n - 1) / 2 * NATURAL_MATCH

@@ -55,3 +55,10 @@ def newton_response(y: Column, p: Column) -> Column:
 
 def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+
+def safe_corr(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation as an aggregate; null where a side is constant (the built-in one
+    divides by zero there under ANSI rules)."""
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(spread > 0, F.covar_pop(a, b) / spread)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip_probability, logit, newton_response, newton_weight, sigmoid
+from ..functions.scalars import clip_probability, logit, newton_response, newton_weight, safe_corr, sigmoid
 from ..functions.windows import DAY
 from .prefix import running_sums
 
@@ -50,31 +50,31 @@ def fold_baselines(assigned: DataFrame, label: str = "label") -> DataFrame:
     return train.withColumn("intercept", logit(F.col("base")))
 
 
-def split_points(rows: DataFrame, x: str, weight: str, response: str, leaf: int = LEAF) -> DataFrame:
-    """Candidate splits of a stump on ``x`` (nulls as 0): one row per distinct value with the
-    sums on its left, the midpoint to the next value, and the gain."""
-    v = F.coalesce(F.col(x), F.lit(0.0)).cast("float").cast("double")
-    byx = rows.groupBy(v.alias("x")).agg(F.count("*").alias("n"), F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col(response)).alias("s"))
+def split_points(byx: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """Candidate splits from sums per value (x, n, w, s): sums on the left and the gain, null
+    where a side would have fewer than ``leaf`` rows."""
     summed = running_sums(byx, "x", ["n", "w", "s"])
     total = byx.agg(F.sum("n").alias("N"), F.sum("w").alias("W"), F.sum("s").alias("S")).first()
-    right = summed.withColumn("N", F.lit(total.N or 0)).withColumn("W", F.lit(total.W or 0.0)).withColumn("S", F.lit(total.S or 0.0))
+    full = summed.withColumn("N", F.lit(total.N or 0)).withColumn("W", F.lit(total.W or 0.0)).withColumn("S", F.lit(total.S or 0.0))
     ok = (F.col("n_upto") >= leaf) & (F.col("N") - F.col("n_upto") >= leaf)
-    gain = F.when(ok, F.col("s_upto") * F.col("s_upto") / F.col("w_upto") + (F.col("S") - F.col("s_upto")) * (F.col("S") - F.col("s_upto")) / (F.col("W") - F.col("w_upto")))
-    return right.withColumn("gain", gain)
+    left, right = F.col("s_upto"), F.col("S") - F.col("s_upto")
+    return full.withColumn("gain", F.when(ok, left * left / F.col("w_upto") + right * right / (F.col("W") - F.col("w_upto"))))
 
 
 def best_split(rows: DataFrame, x: str, weight: str, response: str, leaf: int = LEAF) -> dict | None:
-    """threshold, left and right leaf values; None where no split keeps ``leaf`` rows a side."""
-    points = split_points(rows, x, weight, response, leaf).persist()
+    """threshold, left and right leaf values of a stump on ``x`` (nulls as 0); None where no split
+    keeps ``leaf`` rows a side.  Rows are read once; the rest works on sums per value."""
+    v = F.coalesce(F.col(x), F.lit(0.0)).cast("float").cast("double")
+    byx = rows.groupBy(v.alias("x")).agg(F.count("*").alias("n"), F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col(response)).alias("s")).persist()
     try:
-        best = points.filter("gain is not null").orderBy(F.desc(F.round("gain", 9)), "x").limit(1).collect()
+        best = split_points(byx, leaf).filter("gain is not null").orderBy(F.desc(F.round("gain", 9)), "x").limit(1).collect()
         if not best:
             return None
         b = best[0]
-        after = points.filter(F.col("x") > b.x).agg(F.min("x")).first()[0]
+        after = byx.filter(F.col("x") > b.x).agg(F.min("x")).first()[0]
         return {"threshold": (b.x + after) / 2, "left": b.s_upto / b.w_upto, "right": (b.S - b.s_upto) / (b.W - b.w_upto), "gain": b.gain}
     finally:
-        points.unpersist()
+        byx.unpersist()
 
 
 def fit_stump(rows: DataFrame, x: str, weight: str, response: str, leaf: int = LEAF) -> tuple[Column, dict]:
@@ -127,19 +127,26 @@ def residual_gains(assigned: DataFrame, feature: str, score: Column | None = Non
     return gains
 
 
-def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Add tie-averaged ranks, from 1, of a column without nulls."""
+def rank_table(df: DataFrame, column: str, out: str) -> DataFrame:
+    """(__x, ``out``): tie-averaged ranks, from 1, of the distinct values of a column."""
     by = df.groupBy(F.col(column).cast("double").alias("__x")).agg(F.count("*").alias("__n"))
-    ranks = running_sums(by, "__x", ["__n"]).select("__x", (F.col("__n_upto") - (F.col("__n") - 1) / 2).alias(out))
+    return running_sums(by, "__x", ["__n"]).select("__x", (F.col("__n_upto") - (F.col("__n") - 1) / 2).alias(out))
+
+
+def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Add tie-averaged ranks of a column without nulls."""
+    ranks = rank_table(df, column, out)
     return df.join(ranks, df[column].cast("double") == ranks["__x"]).drop("__x")
 
 
 def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(left, right, rho) for every ordered pair: one pass per column for its ranks, then one
-    aggregation for all pairs; constant columns give null."""
-    ranked = df
+    """(left, right, rho) for every ordered pair: ranks of each column come from the input, then
+    one aggregation serves all pairs; constant columns give null."""
+    base = df.select(*columns).persist()
+    ranked = base
     for c in columns:
-        ranked = average_ranks(ranked, c, f"__rank_{c}")
-    pair = lambda a, b: F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.corr(f"__rank_{a}", f"__rank_{b}").alias("rho"))
+        ranks = rank_table(base, c, f"__rank_{c}")
+        ranked = ranked.join(ranks, ranked[c].cast("double") == ranks["__x"]).drop("__x")
+    pair = lambda a, b: F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), safe_corr(f"__rank_{a}", f"__rank_{b}").alias("rho"))
     listed = ranked.agg(F.array(*(pair(a, b) for a in columns for b in columns)).alias("p")).select(F.explode("p").alias("p")).select("p.*")
-    return listed.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
+    return listed

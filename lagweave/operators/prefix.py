@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 256
+ROWS_A_RANGE = 100_000
 
 
-def running_sums(df: DataFrame, order: str, columns: list[str], ranges: int = RANGES) -> DataFrame:
+def running_sums(df: DataFrame, order: str, columns: list[str], ranges: int = RANGES, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """Add ``<c>_upto`` for each of ``columns``: the sum over rows up to this one by ``order``,
-    whose values must be distinct and not null."""
-    cuts = df.select(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    at = F.lit(0)
-    if cuts:
-        at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order)))
+    whose values must be distinct and not null.  There is a range per ``rows_a_range`` rows, up
+    to ``ranges``; any number of ranges gives the same sums."""
+    n, quantiles = df.agg(F.count("*"), F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000)).first()
+    wanted = min(ranges, 1 + n // rows_a_range)
+    cuts = sorted({quantiles[i * ranges // wanted - 1] for i in range(1, wanted)}) if quantiles else []
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
     parted = df.withColumn("__range", at)
     totals = parted.groupBy("__range").agg(*(F.sum(c).alias(f"__{c}") for c in columns))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

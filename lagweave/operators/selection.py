@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import finite
+from ..functions.scalars import finite, safe_corr
 
 
 def dominates(a: list[Column], b: list[Column], maximize: list[bool]) -> Column:
@@ -52,7 +52,7 @@ def sweep_front(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def correlations(df: DataFrame, candidate: str, references: list[str]) -> DataFrame:
     """(reference, r): absolute Pearson correlation with each reference, in one aggregation."""
-    pairs = [F.struct(F.lit(i).alias("ord"), F.lit(c).alias("reference"), F.abs(F.corr(candidate, c)).alias("r")) for i, c in enumerate(references)]
+    pairs = [F.struct(F.lit(i).alias("ord"), F.lit(c).alias("reference"), F.abs(safe_corr(candidate, c)).alias("r")) for i, c in enumerate(references)]
     return df.agg(F.array(*pairs).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 

@@ -26,6 +26,7 @@ from .shared import cut, release, word_count
 CAP = 3
 SUB = 64  # parts of a (source, size) cell, so that a cell with a third of all rows is spread
 MAX_STEPS = 80
+STEPS_A_WRITE = 4
 TOLERANCE = 1e-9
 
 
@@ -51,29 +52,38 @@ def targets(totals: DataFrame, cap: int = CAP) -> DataFrame:
     return opened.select("skey", "total", F.coalesce(F.least((F.lit(cap) * F.col("total")).cast("double"), water * F.col("weight")), (F.lit(cap) * F.col("total")).cast("double")).alias("target"))
 
 
+def _newton_step(cells: DataFrame, state: DataFrame, cap: int) -> DataFrame:
+    """One Newton step per source on the logarithm of its words, or a bisection step where that
+    would leave the bracket; a source that meets its target stays."""
+    x = F.col("size") / F.col("mean")
+    rate = F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * x, F.lit(50.0))))
+    words = F.col("n") * F.col("size") * rate
+    sums = cells.join(state, "skey").groupBy("skey").agg(
+        *(F.first(c).alias(c) for c in ("mean", "target", "lam", "lo", "hi")), F.sum(words).alias("phi"),
+        F.sum(F.when(rate < cap, words * x).otherwise(0.0)).alias("slope"))
+    low, high = F.col("phi") < F.col("target"), F.col("phi") >= F.col("target")
+    moved = sums.withColumns({"miss": F.when(F.col("lam") == float("inf"), 0.0).otherwise(F.abs(F.col("phi") / F.col("target") - 1)),
+                              "lo": F.when(low, F.col("lam")).otherwise(F.col("lo")), "hi": F.when(high, F.col("lam")).otherwise(F.col("hi"))})
+    newton = F.when((F.col("slope") > 0) & (F.col("phi") > 0), F.col("lam") - F.ln(F.col("phi") / F.col("target")) * F.col("phi") / F.col("slope"))
+    halved = F.when(F.col("lo").isNull(), 2 * F.col("hi") - 1).when(F.col("hi").isNull(), 2 * F.col("lo") + 1).otherwise((F.col("lo") + F.col("hi")) / 2)
+    inside = (newton > F.coalesce("lo", F.lit(float("-inf")))) & (newton < F.coalesce("hi", F.lit(float("inf"))))
+    step = F.when(F.col("miss") <= TOLERANCE, F.col("lam")).when(F.coalesce(inside, F.lit(False)), newton).otherwise(halved)
+    return moved.select("skey", "mean", "target", step.alias("lam"), "lo", "hi", "miss")
+
+
 def solve_rates(cells: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
     """Multipliers (skey, lam, mean) whose tilted rates meet the targets.
 
     ``cells``: skey, size, n.  ``goals``: skey, total, target, docs.  State is one row per
-    source, written each step; the driver only learns the largest relative miss."""
+    source, written every few steps; the driver only learns the largest relative miss."""
     state = cut(goals.filter((F.col("total") > 0) & (F.col("target") > 0)).select(
         "skey", (F.col("total") / F.col("docs")).alias("mean"), "target", F.when(F.col("target") >= cap * F.col("total"), F.lit(float("inf"))).otherwise(0.0).alias("lam"),
         F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(1.0).alias("miss")), "mix-state")
-    for _ in range(MAX_STEPS):
-        x = F.col("size") / F.col("mean")
-        rate = F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * x, F.lit(50.0))))
-        words = F.col("n") * F.col("size") * rate
-        sums = cells.join(state, "skey").groupBy("skey").agg(
-            *(F.first(c).alias(c) for c in ("mean", "target", "lam", "lo", "hi")), F.sum(words).alias("phi"),
-            F.sum(F.when(rate < cap, words * x).otherwise(0.0)).alias("slope"))
-        low, high = F.col("phi") < F.col("target"), F.col("phi") >= F.col("target")
-        moved = sums.withColumns({"miss": F.when(F.col("lam") == float("inf"), 0.0).otherwise(F.abs(F.col("phi") / F.col("target") - 1)),
-                                  "lo": F.when(low, F.col("lam")).otherwise(F.col("lo")), "hi": F.when(high, F.col("lam")).otherwise(F.col("hi"))})
-        newton = F.when((F.col("slope") > 0) & (F.col("phi") > 0), F.col("lam") - F.ln(F.col("phi") / F.col("target")) * F.col("phi") / F.col("slope"))
-        halved = F.when(F.col("lo").isNull(), 2 * F.col("hi") - 1).when(F.col("hi").isNull(), 2 * F.col("lo") + 1).otherwise((F.col("lo") + F.col("hi")) / 2)
-        inside = (newton > F.coalesce("lo", F.lit(float("-inf")))) & (newton < F.coalesce("hi", F.lit(float("inf"))))
-        step = F.when(F.col("miss") <= TOLERANCE, F.col("lam")).when(F.coalesce(inside, F.lit(False)), newton).otherwise(halved)
-        before, state = state, cut(moved.select("skey", "mean", "target", step.alias("lam"), "lo", "hi", "miss"), "mix-state")
+    for _ in range(MAX_STEPS // STEPS_A_WRITE):
+        moved = state
+        for _ in range(STEPS_A_WRITE):
+            moved = _newton_step(cells, moved, cap)
+        before, state = state, cut(moved, "mix-state")
         release(before)
         worst = state.agg(F.max("miss")).first()[0]
         if worst is None or worst <= TOLERANCE:

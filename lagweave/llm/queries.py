@@ -64,7 +64,52 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_exact_dedup, op4_pii_surrogates, op5_token_planes,
                                    op6_byte_bpe, op7_simhash, op8_token_attribution, op9_quality_hosts, op10_warc)}
 
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _secret_sql() -> str:
+    """The scan in SQL: matches by pattern, positions by running sums, the battery, and the
+    false-discovery control by bins."""
+    words = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
+    assign = rf"""({words})["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""".replace("\\'", "''")
+    found = " UNION ALL ".join(f"SELECT rid, doc_id, {k} AS kind, regexp_extract_all(text, '{x}') AS hits, string_split_regex(text, '{x}') AS gaps FROM d"
+                               for k, x in enumerate((assign, secrets.LONG_ACCESS, secrets.LONG_HEX, secrets.CANDIDATE)))
+    below = lambda z: f"1 / (1 + exp(-(1.5976 * greatest(-8.0, least(8.0, {z})) + 0.070566 * pow(greatest(-8.0, least(8.0, {z})), 3))))"
+    pairs = f"(n * (n - 1) / 2 * {secrets.NATURAL_MATCH})"
+    changes = f"((n - 1) * {secrets.NATURAL_CHANGE})"
+    p_uniform = below(f"(((squares - n) / 2 + 0.5 - {pairs}) / sqrt(2 * {pairs}))")
+    p_runs = "1 - " + below(f"((changes - 0.5 - {changes}) / sqrt({changes} * (1 - {secrets.NATURAL_CHANGE})))")
+    names = " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(secrets.KINDS))
+    spelled = f"CASE kind {names} END || ':' || start || ':' || stop"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({found}),
+h AS (SELECT rid, doc_id, kind, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM m WHERE len(hits) > 0),
+o AS (SELECT *, (sum(length(gap)) OVER w + coalesce(sum(length(hit)) OVER (PARTITION BY rid, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start
+  FROM h WINDOW w AS (PARTITION BY rid, kind ORDER BY i ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, start + length(hit) AS stop FROM o),
+base AS (SELECT rid, kind, start, stop FROM s WHERE kind IN (1, 2) OR (kind = 0 AND length(regexp_extract(hit, '{assign}', 2)) >= 12)),
+t0 AS (SELECT rid, kind, start, stop, length(hit) AS len, string_split(hit, '') AS c FROM s WHERE kind = 3),
+t1 AS (SELECT *, len::DOUBLE AS n, list_transform(c, lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN 0 WHEN x BETWEEN 'a' AND 'z' THEN 1 WHEN x BETWEEN 'A' AND 'Z' THEN 2 ELSE 3 END) AS k,
+  list_transform(c, lambda x: ascii(x)::DOUBLE) AS v, list_sum(list_transform(list_distinct(c), lambda x: pow(len(list_filter(c, lambda y: y = x)), 2))) AS squares FROM t0),
+t2 AS (SELECT *, list_avg(v) AS mean, len(list_filter(range(2, len + 1), lambda i: k[i] <> k[i - 1] AND k[i] < 3 AND k[i - 1] < 3)) AS changes FROM t1),
+t3 AS (SELECT *, list_sum(list_transform(v, lambda x: (x - mean) * (x - mean))) AS spread, list_sum(list_transform(range(2, len + 1), lambda i: (v[i] - mean) * (v[i - 1] - mean))) AS lagged FROM t2),
+t4 AS (SELECT *, CASE WHEN spread > 0 THEN lagged / spread * sqrt(n) ELSE 99.0 END AS z, -(ln(greatest({p_uniform}, 1e-30)) + ln(greatest({p_runs}, 1e-30))) AS joint FROM t3),
+t5 AS (SELECT rid, kind, start, stop, floor(log2(n)) AS class, CAST(least({secrets.BINS}, floor(-10 * log10(greatest(CASE WHEN abs(z) > {secrets.MAX_SERIAL_Z} THEN 1.0 ELSE least(1.0, exp(-joint) * (1 + joint)) END, 1e-30)))) AS INTEGER) AS bin FROM t4),
+b AS (SELECT class, bin, sum(count(*)) OVER (PARTITION BY class ORDER BY bin DESC) AS rank, sum(count(*)) OVER (PARTITION BY class) AS m FROM t5 GROUP BY class, bin),
+l AS (SELECT class, min(bin) AS least_bin FROM b WHERE pow(10.0, -bin / 10.0) <= {secrets.FDR} * rank / m GROUP BY class),
+added AS (SELECT rid, kind, start, stop FROM t5 JOIN l USING (class) WHERE bin >= least_bin
+  AND NOT EXISTS (SELECT 1 FROM base y WHERE y.rid = t5.rid AND y.start < t5.stop AND t5.start < y.stop)),
+a AS (SELECT * FROM base UNION ALL SELECT * FROM added),
+g AS (SELECT rid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  string_agg({spelled}, ',' ORDER BY start, kind, stop) FILTER (WHERE kind < 3) AS own, string_agg({spelled}, ',' ORDER BY start, kind, stop) AS spans FROM a GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)"""
+
+
 ORACLES = {
+    "op2_secret_scan": _secret_sql(),
     "op3_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm, length(coalesce(text, '')) AS points

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .bitplanes import pack, unpack
 from .shared import new_path, open_shared, publish_shared, shuffle_count
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -41,22 +41,37 @@ BUCKET = 1024  # mean number of distinct fingerprints a key may have before g gr
 STEP = 8  # planes between two looks at which words can be dropped
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The fingerprint as a signed 64-bit integer."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle in order, repeats included; none without a word."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     n = min(shingle, len(words))
     starts = (ends - lengths)[: len(words) - n + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[n - 1 :].tolist(), strict=True)], "<u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 15):
-        ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[n - 1 :].tolist(), strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray, widen=lambda x: x[:, None], words: int = 1) -> np.ndarray:
+    """Bits set in over half of the hashes, packed into ``words`` 64-bit words; ``widen`` turns
+    a part of the hashes into rows of that many words.  Bytes of 0 or 1 are added eight to a
+    word, 255 rows at a time, which no byte overruns."""
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 255 * 16):
+        part = np.ascontiguousarray(widen(hashes[at : at + 255 * 16]))
+        bits = np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").view("<u8")
+        sums = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0)
+        ones += sums.view(np.uint8).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """The fingerprint as a signed 64-bit integer."""
+    hashes = shingle_hashes(text, shingle)
+    return int(majority(hashes).view("<i8")[0]) if len(hashes) else 0
 
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -106,27 +121,70 @@ class Forest:
 
 
 def sliced_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, room: int = 1 << 18) -> np.ndarray:
-    """Labels of ``fps`` (uint64, sorted by ``group``) joined where two of a group are linked.
+    """Labels of ``fps`` (uint64, one or more columns, sorted by ``group``) joined where two of
+    a group are linked.
 
-    Groups are padded to whole words of 64 lanes.  A unit of work is (query, word): 64
-    distances, counted in three carry-save planes with a sticky overflow."""
+    First all of a group meet its first member.  Only those it does not link are queries after
+    that, each against those after it and all linked ones, so a tight group costs one pass."""
     forest = Forest(len(fps))
+    if not len(fps):
+        return forest.label
+    wide = fps.reshape(len(fps), -1)
+    begins = np.diff(group, prepend=group[:1] - 1) != 0
+    first = np.flatnonzero(begins)
+    sizes = np.diff(first, append=len(group))
+    for i, j in _compare(wide, group, begins, radius, room):
+        forest.join(i, j)
+    linked = forest.label == forest.label[np.repeat(first, sizes)]
+    left = np.add.reduceat(~linked, first)
+    again = np.flatnonzero(np.repeat((left > 0) & (sizes > 2), sizes))
+    if len(again):
+        order = again[np.lexsort((linked[again], group[again]))]
+        for i, j in _compare(wide[order], group[order], ~linked[order], radius, room):
+            forest.join(order[i], order[j])
+    return forest.label
+
+
+def pairs_between(fps: np.ndarray, group: np.ndarray, label: np.ndarray, radius: int, room: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one group within ``radius`` whose labels differ, each once; the members of a
+    group's largest label are not compared among themselves."""
+    first = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
+    sizes = np.diff(first, append=len(group))
+    count = np.bincount(label, minlength=len(label))[label]
+    most = np.repeat(np.maximum.reduceat(count, first), sizes)
+    main = np.minimum.reduceat(np.where(count == most, label, len(label)), first)
+    other = label != np.repeat(main, sizes)
+    mixed = np.flatnonzero(np.repeat(np.add.reduceat(other, first) > 0, sizes))
+    order = mixed[np.lexsort((~other[mixed], group[mixed]))]
+    for i, j in _compare(fps.reshape(len(fps), -1)[order], group[order], other[order], radius, room) if len(order) else ():
+        i, j = order[i], order[j]
+        apart = label[i] != label[j]
+        yield i[apart], j[apart]
+
+
+def _compare(fps: np.ndarray, group: np.ndarray, asks: np.ndarray, radius: int, room: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row that ``asks``, with the linked rows after it in its group.
+
+    Groups are padded to whole words of 64 lanes.  A unit of work is (query, word): 64
+    distances, counted in carry-save planes with a sticky overflow."""
     first = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
     sizes = np.diff(first, append=len(group))
     word_of = np.repeat(np.cumsum((sizes + 63) // 64) - (sizes + 63) // 64, sizes)
     inside = np.arange(len(fps)) - np.repeat(first, sizes)
     n_words = int(((sizes + 63) // 64).sum())
     place = (word_of + inside // 64) * 64 + inside % 64
-    padded = np.zeros(n_words * 64, np.uint64)
-    padded[place] = fps
     lanes = np.full(n_words * 64, -1)
     lanes[place] = np.arange(len(fps))
-    planes = np.empty((64, n_words), np.uint64)
-    for b in range(64):
-        planes[b] = np.packbits((padded >> np.uint64(b)).astype(np.uint8) & 1, bitorder="little").view("<u8")
+    n_bits = 64 * fps.shape[1]
+    planes = np.empty((n_bits, n_words), np.uint64)
+    padded = np.zeros(n_words * 64, np.uint64)
+    for b in range(n_bits):
+        if b % 64 == 0:
+            padded[place] = fps[:, b // 64]
+        planes[b] = np.packbits((padded >> np.uint64(b % 64)).astype(np.uint8) & 1, bitorder="little").view("<u8")
     valid = np.packbits(lanes >= 0, bitorder="little").view("<u8")
-    # each query meets the words from its own onward: every pair once
-    many = np.repeat(np.cumsum((sizes + 63) // 64), sizes) - (word_of + inside // 64)
+    # each query meets the words from its own onward
+    many = (np.repeat(np.cumsum((sizes + 63) // 64), sizes) - (word_of + inside // 64)) * asks
     upto = np.cumsum(many)
     low = 0
     while low < len(fps):
@@ -138,13 +196,13 @@ def sliced_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, room:
         own = word == (word_of + inside // 64)[query]
         after = ~((np.uint64(2) << (inside[query] % 64).astype(np.uint64)) - np.uint64(1))  # lanes after the query
         alive[own] &= after[own]
-        counter = [np.zeros(len(query), np.uint64) for _ in range(3)]
+        counter = [np.zeros(len(query), np.uint64) for _ in range(int(radius).bit_length())]
         keep = np.flatnonzero(alive)
         query, word, alive, counter = query[keep], word[keep], alive[keep], [c[keep] for c in counter]
-        for b in range(64):
-            flip = np.uint64(0) - ((fps[query] >> np.uint64(b)) & np.uint64(1))
+        for b in range(n_bits if len(query) else 0):
+            flip = np.uint64(0) - ((fps[query, b // 64] >> np.uint64(b % 64)) & np.uint64(1))
             carry = planes[b][word] ^ flip
-            for k in range(3):
+            for k in range(len(counter)):
                 counter[k], carry = counter[k] ^ carry, counter[k] & carry
             alive &= ~carry  # the counter ran over
             if b % STEP == STEP - 1:
@@ -157,48 +215,55 @@ def sliced_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, room:
         for at in range(0, len(query), 1 << 12):
             bits = np.unpackbits(alive[at : at + (1 << 12)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             r, lane = np.nonzero(bits)
-            forest.join(query[at + r], lanes[word[at + r] * 64 + lane])
+            yield query[at + r], lanes[word[at + r] * 64 + lane]
         low = high
-    return forest.label
 
 
 def _beyond(counter: list[np.ndarray], radius: int) -> np.ndarray:
-    """Lanes whose three-bit count is above the radius (below 8)."""
-    over = np.zeros_like(counter[0])
-    for value in range(radius + 1, 8):
-        match = np.full_like(over, np.uint64(0xFFFFFFFFFFFFFFFF))
-        for k in range(3):
-            match &= counter[k] if value >> k & 1 else ~counter[k]
-        over |= match
+    """Lanes whose count is above the radius, looked at from the highest plane down."""
+    over, same = np.zeros_like(counter[0]), np.full_like(counter[0], np.uint64(0xFFFFFFFFFFFFFFFF))
+    for k in reversed(range(len(counter))):
+        if radius >> k & 1:
+            same &= counter[k]
+        else:
+            over |= same & counter[k]
+            same &= ~counter[k]
     return over
 
 
-def _edges(radius: int):
-    """Runs of rows (bucket number, fp), sorted by bucket, to edges (u, v)."""
-    def flush(group, fps):
-        label = sliced_links(fps.view(np.uint64), group, radius)
+def _edges(radius: int, outer: int | None):
+    """Runs of rows (bucket, tile, tile, node[, fp]), sorted by the first three, to edges (u, v,
+    sure) of nodes.  Without ``fp`` a node is its own fingerprint."""
+    def batch_of(u, v, sure):
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), sure))], ["u", "v", "sure"])
+
+    def flush(keys, nodes, fps):
+        group = _numbers(keys)
+        label = sliced_links(fps, group, radius)
         moved = np.flatnonzero(label != np.arange(len(fps)))
-        return pa.RecordBatch.from_arrays([pa.array(fps[moved]), pa.array(fps[label[moved]])], ["u", "v"])
+        yield batch_of(nodes[moved], nodes[label[moved]], True)
+        for i, j in pairs_between(fps, group, label, outer) if outer else ():
+            yield batch_of(np.maximum(nodes[i], nodes[j]), np.minimum(nodes[i], nodes[j]), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_g, held_f = [], []
+        held: list[tuple] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [np.asarray(batch.column(c)) for c in range(4)]
-            group = columns[0]
-            held_g.append(np.stack(columns[:3], 1))
-            held_f.append(columns[3])
-            if sum(map(len, held_f)) < 1 << 16:
+            keys = np.stack([np.asarray(batch.column(c)) for c in range(3)], 1)
+            nodes = np.asarray(batch.column(3))
+            fps = nodes.view(np.uint64)[:, None] if batch.num_columns == 4 else np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u8").reshape(len(nodes), -1)
+            held.append((keys, nodes, fps))
+            if sum(len(x[1]) for x in held) < 1 << 16:
                 continue
-            keys, fps = np.concatenate(held_g), np.concatenate(held_f)
+            keys, nodes, fps = (np.concatenate(x) for x in zip(*held, strict=True))
             ends = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             stop = int(ends[-1]) if len(ends) else 0  # the last group may go on in the next batch
             if stop:
-                yield flush(_numbers(keys[:stop]), fps[:stop])
-            held_g, held_f = [keys[stop:]], [fps[stop:]]
-        if held_f and sum(map(len, held_f)):
-            yield flush(_numbers(np.concatenate(held_g)), np.concatenate(held_f))
+                yield from flush(keys[:stop], nodes[:stop], fps[:stop])
+            held = [(keys[stop:], nodes[stop:], fps[stop:])]
+        if held:
+            yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
     return run
 
 
@@ -206,22 +271,29 @@ def _numbers(keys: np.ndarray) -> np.ndarray:
     return np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(1).astype(np.int64)])
 
 
+def bucket_edges(keyed: DataFrame, radius: int, outer: int | None = None) -> DataFrame:
+    """(bucket, node[, fp]) rows to edges (u, v, sure): sure ones span the links of each bucket;
+    others are the pairs within ``outer`` that the bucket's sure edges leave apart.
+
+    A large bucket is dealt to its pairs of tiles; others have one tile."""
+    rest = [c for c in keyed.columns if c not in ("bucket", "node")]
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > TILE)
+    large = cut(sizes.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "simhash-large")
+    tiled = keyed.join(large, "bucket", "left").withColumn("tile", F.pmod(F.xxhash64("node", "bucket"), F.coalesce("tiles", F.lit(1))).cast("int"))
+    others = F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)
+    dealt = tiled.select("bucket", "node", *rest, "tile", F.explode(others).alias("other")).select(
+        "bucket", F.least("tile", "other").cast("long").alias("a"), F.greatest("tile", "other").cast("long").alias("b"), "node", *rest)
+    parts = max(shuffle_count(keyed.sparkSession), 1)
+    ordered = dealt.repartition(parts, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "node")
+    return ordered.mapInArrow(_edges(radius, outer), "u long, v long, sure boolean")
+
+
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column ``fp``) whose closure is that of all links."""
-    spark = fps.sparkSession
     masks = tables(fps.count(), radius)
     keys: list[Column] = [F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in m)))).alias("key")) for t, m in enumerate(masks)]
-    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", F.xxhash64("k.t", "k.key").alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    # a large bucket is dealt to its pairs of tiles; others have one tile
-    large = cut(sizes.filter(F.col("n") > TILE).select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "simhash-large")
-    tiled = keyed.join(large, "bucket", "left").withColumn("tile", F.pmod(F.xxhash64("fp", "bucket"), F.coalesce("tiles", F.lit(1))).cast("int"))
-    others = F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)
-    dealt = tiled.select("bucket", "fp", "tile", F.explode(others).alias("other")).select(
-        "bucket", F.least("tile", "other").cast("long").alias("a"), F.greatest("tile", "other").cast("long").alias("b"), "fp")
-    parts = max(shuffle_count(spark), 1)
-    ordered = dealt.repartition(parts, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "fp")
-    return ordered.mapInArrow(_edges(radius), "u long, v long")
+    keyed = fps.select(F.col("fp").alias("node"), F.explode(F.array(*keys)).alias("k"))
+    return bucket_edges(keyed.select("node", F.xxhash64("k.t", "k.key").alias("bucket")), radius).select("u", "v")
 
 
 def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 4, radius: int = RADIUS) -> DataFrame:
@@ -235,14 +307,3 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int
     first = cut(first, "simhash-first")
     named = cut(named.join(first, "root").select("fp", "component_id"), "simhash-named")
     return slim.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_representatives(docs: DataFrame, id_col="doc_id", **options) -> DataFrame:
-    """One document of each group, that with the least id; the columns of ``docs``.  Rows that
-    share an id stay or go together, rows without an id stay.
-
-    The ids that go are written first: their measured size decides whether texts stay where
-    they are (broadcast) or are joined by a shuffle."""
-    gone = near_groups(docs, id_col=id_col, **options).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__near_id")).distinct()
-    gone = cut(gone, "simhash-gone")
-    return docs.join(gone, docs[id_col] == gone["__near_id"], "left_anti")

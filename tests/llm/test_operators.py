@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
-from lagweave.llm import attribution, bitplanes, bpe, exact, mixing, pii, quality, secrets, simhash, warc  # noqa: E402
+from lagweave.llm import attribution, bitplanes, bpe, exact, mixing, pii, quality, secrets, similar, simhash, warc  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, word string, row string, hits string"
 WORDS = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they".split()
@@ -59,7 +59,7 @@ def by_row(df, *columns):
 def test_every_operator_takes_an_empty_table(empty, spark):
     path, multi = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     results = [mixing.mix(empty), mixing.take_copies(empty), secrets.scan(empty), exact.groups(empty), exact.keep_first(empty), pii.surrogates(empty, "k"), simhash.near_groups(empty),
-               simhash.keep_representatives(empty), quality.judge(empty), quality.keep_documents(empty), bitplanes.encode_to_shards(spark, empty, path, 2),
+               similar.keep_representatives(empty), quality.judge(empty), quality.keep_documents(empty), bitplanes.encode_to_shards(spark, empty, path, 2),
                bpe.round_trip(empty, multi, public_tokenizers.PATTERN), attribution.sections(empty, multi, public_tokenizers.PATTERN),
                warc.round_trip(empty.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("url"), F.col("text").alias("html")))]
     for df in results:
@@ -329,6 +329,70 @@ def test_large_buckets_are_tiled(spark, monkeypatch):
     assert len(edges) < 150 * 150 / 4
 
 
+def brute_similar(texts, similarity, n=5):
+    """Components of texts by the Jaccard similarity of their sets of word shingles."""
+    sets = []
+    for t in texts:
+        words = RUNS.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets.append({tuple(words[i : i + n]) for i in range(max(len(words) - n + 1, 1))} if words else set())
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or same >= similarity * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
+def edited(rng, words, k):
+    out = list(words)
+    for at in rng.sample(range(len(out)), k):
+        out[at] = f"new{rng.randint(0, 10**6)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("tile", [8192, 16])
+def test_similar_groups_against_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = random.Random(11)
+    texts = []
+    for n in (60, 150, 400):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+        for k in range(0, n // 12):  # from one word changed to far below the similarity
+            texts.append(edited(rng, words, k))
+    hub = [f"h{rng.randint(0, 5000)}" for _ in range(200)]
+    texts += [edited(rng, hub, rng.randint(1, 6)) for _ in range(80)]
+    texts += [r[1] for r in rows()]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    label = brute_similar(texts, 0.8)
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, fp string, node string").repartition(5)
+    assert {r.doc_id: r.component_id for r in similar.similar_groups(df).collect()} == dict(enumerate(label))
+    kept = similar.keep_representatives(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+
+
+def test_similar_rows_without_an_id_or_sharing_one(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    data = [(None, text), (None, text), (4, text), (4, text), (7, text + " more"), (9, None), (10, " \n"), (11, "few words"), (12, "few words")]
+    kept = similar.keep_representatives(spark.createDataFrame(data, "doc_id long, text string"))
+    assert Counter(r.doc_id for r in kept.collect()) == {None: 2, 4: 2, 9: 1, 11: 1}
+
+
+def test_radii_part_the_similarities():
+    inner, outer = similar.radii(0.8)
+    rng = np.random.default_rng(4)
+    fp = lambda h: simhash.majority(h, lambda x: similar._mix(x[:, None] ^ similar._SALT[None, :]), len(similar._SALT))
+    for share, low, high in ((0.95, 0, inner), (0.8, inner, outer), (0.5, outer + 1, 1024)):
+        a = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+        b = a.copy()
+        new = round(len(a) * (1 - share) / (1 + share))
+        b[:new] = rng.integers(0, 1 << 63, new, dtype=np.uint64)
+        assert low <= np.bitwise_count(fp(a) ^ fp(b)).sum() <= high
+
+
 def test_components_on_a_long_chain(spark):
     from lagweave.llm.components import components
 
@@ -426,7 +490,7 @@ def test_pipeline_against_brute_force(spark, docs, tmp_path):
         if norm not in groups or (-len(r[1]), r[0] is None, r[0] or 0) < (-len(groups[norm][1]), groups[norm][0] is None, groups[norm][0] or 0):
             groups[norm] = r
     left = list(groups.values())
-    label = brute_components([brute_fingerprint(r[1]) for r in left], 4)
+    label = brute_similar([r[1] for r in left], 0.8)
     ids = defaultdict(list)
     for r, c in zip(left, label):
         ids[c].append(r[0])

@@ -165,37 +165,28 @@ def pairs_between(fps: np.ndarray, group: np.ndarray, label: np.ndarray, radius:
 def _compare(fps: np.ndarray, group: np.ndarray, asks: np.ndarray, radius: int, room: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each row that ``asks``, with the linked rows after it in its group.
 
-    Groups are padded to whole words of 64 lanes.  A unit of work is (query, word): 64
-    distances, counted in carry-save planes with a sticky overflow."""
-    first = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
-    sizes = np.diff(first, append=len(group))
-    word_of = np.repeat(np.cumsum((sizes + 63) // 64) - (sizes + 63) // 64, sizes)
-    inside = np.arange(len(fps)) - np.repeat(first, sizes)
-    n_words = int(((sizes + 63) // 64).sum())
-    place = (word_of + inside // 64) * 64 + inside % 64
-    lanes = np.full(n_words * 64, -1)
-    lanes[place] = np.arange(len(fps))
-    n_bits = 64 * fps.shape[1]
+    Rows lie side by side, 64 to a word, so a word may hold many small groups.  A unit of work
+    is (query, word): 64 distances, counted in carry-save planes with a sticky overflow, of
+    which only lanes of the query's group are alive."""
+    n_words, n_bits = (len(fps) + 63) // 64, 64 * fps.shape[1]
     planes = np.empty((n_bits, n_words), np.uint64)
     padded = np.zeros(n_words * 64, np.uint64)
     for b in range(n_bits):
         if b % 64 == 0:
-            padded[place] = fps[:, b // 64]
+            padded[: len(fps)] = fps[:, b // 64]
         planes[b] = np.packbits((padded >> np.uint64(b % 64)).astype(np.uint8) & 1, bitorder="little").view("<u8")
-    valid = np.packbits(lanes >= 0, bitorder="little").view("<u8")
-    # each query meets the words from its own onward
-    many = (np.repeat(np.cumsum((sizes + 63) // 64), sizes) - (word_of + inside // 64)) * asks
+    ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
+    end = np.repeat(ends, np.diff(ends, prepend=0))
+    start = np.arange(1, len(fps) + 1)  # a query meets the rows after it
+    many = np.where(asks & (start < end), (end - 1) // 64 - start // 64 + 1, 0)
     upto = np.cumsum(many)
     low = 0
     while low < len(fps):
         high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + room, "right")))
         query = np.repeat(np.arange(low, high), many[low:high])
         begun = np.repeat(upto[low:high] - many[low:high], many[low:high])
-        word = (word_of + inside // 64)[query] + np.arange(upto[low - 1] if low else 0, upto[high - 1]) - begun
-        alive = valid[word].copy()
-        own = word == (word_of + inside // 64)[query]
-        after = ~((np.uint64(2) << (inside[query] % 64).astype(np.uint64)) - np.uint64(1))  # lanes after the query
-        alive[own] &= after[own]
+        word = start[query] // 64 + np.arange(upto[low - 1] if low else 0, upto[high - 1]) - begun
+        alive = _lanes_from(start[query] - 64 * word) & ~_lanes_from(end[query] - 64 * word)
         counter = [np.zeros(len(query), np.uint64) for _ in range(int(radius).bit_length())]
         keep = np.flatnonzero(alive)
         query, word, alive, counter = query[keep], word[keep], alive[keep], [c[keep] for c in counter]
@@ -215,10 +206,16 @@ def _compare(fps: np.ndarray, group: np.ndarray, asks: np.ndarray, radius: int,
         for at in range(0, len(query), 1 << 12):
             bits = np.unpackbits(alive[at : at + (1 << 12)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             r, lane = np.nonzero(bits)
-            yield query[at + r], lanes[word[at + r] * 64 + lane]
+            yield query[at + r], word[at + r] * 64 + lane
         low = high
 
 
+def _lanes_from(at: np.ndarray) -> np.ndarray:
+    """Words whose lanes from ``at`` on are set: all up to 0, none from 64."""
+    ones = np.uint64(0xFFFFFFFFFFFFFFFF) << np.clip(at, 0, 63).astype(np.uint64)
+    return np.where(at < 64, ones, np.uint64(0))
+
+
 def _beyond(counter: list[np.ndarray], radius: int) -> np.ndarray:
     """Lanes whose count is above the radius, looked at from the highest plane down."""
     over, same = np.zeros_like(counter[0]), np.full_like(counter[0], np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -239,6 +236,10 @@ def _edges(radius: int, outer: int | None):
 
     def flush(keys, nodes, fps):
         group = _numbers(keys)
+        met = np.bincount(group)[group] > 1
+        group, nodes, fps = np.unique(group[met], return_inverse=True)[1], nodes[met], fps[met]
+        if not len(group):
+            return
         label = sliced_links(fps, group, radius)
         moved = np.flatnonzero(label != np.arange(len(fps)))
         yield batch_of(nodes[moved], nodes[label[moved]], True)

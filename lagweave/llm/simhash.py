@@ -229,43 +229,84 @@ def _beyond(counter: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def _edges(radius: int, outer: int | None):
-    """Runs of rows (bucket, tile, tile, node[, fp]), sorted by the first three, to edges (u, v,
-    sure) of nodes.  Without ``fp`` a node is its own fingerprint."""
-    def batch_of(u, v, sure):
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), sure))], ["u", "v", "sure"])
-
-    def flush(keys, nodes, fps):
+    """Rows (bucket, tile, tile, node[, fp]) to edges (bucket, a, b, u, v) of nodes, with no
+    bucket; with ``outer`` also the nodes of pairs that it holds and links leave apart, as
+    (bucket, a, b, u, null).  Without ``fp`` a node is its own fingerprint."""
+    def flush(keys, nodes, fps, _):
         group = _numbers(keys)
         met = np.bincount(group)[group] > 1
-        group, nodes, fps = np.unique(group[met], return_inverse=True)[1], nodes[met], fps[met]
-        if not len(group):
+        keys, nodes, fps = keys[met], nodes[met], fps[met]
+        if not len(nodes):
             return
+        group = _numbers(keys)
         label = sliced_links(fps, group, radius)
         moved = np.flatnonzero(label != np.arange(len(fps)))
-        yield batch_of(nodes[moved], nodes[label[moved]], True)
-        for i, j in pairs_between(fps, group, label, outer) if outer else ():
-            yield batch_of(np.maximum(nodes[i], nodes[j]), np.minimum(nodes[i], nodes[j]), False)
+        none = pa.nulls(len(moved), pa.int64())
+        yield _batch(none, none, none, pa.array(nodes[moved]), pa.array(nodes[label[moved]]))
+        if outer:
+            open_ = np.zeros(len(nodes), bool)
+            for i, j in pairs_between(fps, group, label, outer):
+                open_[i] = open_[j] = True
+            at = np.flatnonzero(open_)
+            yield _batch(*(pa.array(keys[at, c]) for c in range(3)), pa.array(nodes[at]), pa.nulls(len(at), pa.int64()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([np.asarray(batch.column(c)) for c in range(3)], 1)
-            nodes = np.asarray(batch.column(3))
-            fps = nodes.view(np.uint64)[:, None] if batch.num_columns == 4 else np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u8").reshape(len(nodes), -1)
-            held.append((keys, nodes, fps))
-            if sum(len(x[1]) for x in held) < 1 << 16:
-                continue
-            keys, nodes, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-            ends = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            stop = int(ends[-1]) if len(ends) else 0  # the last group may go on in the next batch
-            if stop:
-                yield from flush(keys[:stop], nodes[:stop], fps[:stop])
-            held = [(keys[stop:], nodes[stop:], fps[stop:])]
-        if held:
-            yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
-    return run
+    return lambda batches: _runs(batches, flush)
+
+
+def _batch(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), ["bucket", "a", "b", "u", "v"])
+
+
+def proven_edges(radius: int, outer: int, similarity: float):
+    """Rows (bucket, tile, tile, node, fp, hashes) to edges (u, v): pairs between the radii are
+    compared by their sets of hashes, unless links of the run join them already."""
+    def flush(keys, nodes, fps, sets):
+        group = _numbers(keys)
+        forest = Forest(len(nodes))
+        forest.label = sliced_links(fps, group, radius)
+        for i, j in pairs_between(fps, group, forest.label.copy(), outer):
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                if forest.label[x] == forest.label[y]:
+                    continue
+                both = len(sets[x]) + len(sets[y])
+                same = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if same / max(both - same, 1) >= similarity:
+                    low, high = sorted((forest.label[x], forest.label[y]))
+                    begin, end = np.searchsorted(group, [group[x], group[x] + 1])
+                    part = forest.label[begin:end]
+                    part[part == high] = low
+        moved = np.flatnonzero(forest.label != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[forest.label[moved]])], ["u", "v"])
+
+    return lambda batches: _runs(batches, flush)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], flush) -> Iterator[pa.RecordBatch]:
+    """Whole runs of equal (bucket, tile, tile) for ``flush``: about 65,536 rows or 64 MB."""
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column(c)) for c in range(3)], 1)
+        nodes = np.asarray(batch.column(3))
+        fps = nodes.view(np.uint64)[:, None] if batch.num_columns == 4 else np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u8").reshape(len(nodes), -1)
+        sets = np.empty(len(nodes), object)
+        if batch.num_columns > 5:
+            for k, x in enumerate(batch.column(5)):
+                sets[k] = np.array(x.values)
+        held.append((keys, nodes, fps, sets))
+        size += max(batch.nbytes, batch.num_rows << 10)
+        if size < 1 << 26:
+            continue
+        keys, nodes, fps, sets = (np.concatenate(x) for x in zip(*held, strict=True))
+        ends = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        stop = int(ends[-1]) if len(ends) else 0  # the last group may go on in the next batch
+        if stop:
+            yield from flush(keys[:stop], nodes[:stop], fps[:stop], sets[:stop])
+        held, size = [(keys[stop:], nodes[stop:], fps[stop:], sets[stop:])], 0
+    if held:
+        yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def _numbers(keys: np.ndarray) -> np.ndarray:
@@ -273,8 +314,7 @@ def _numbers(keys: np.ndarray) -> np.ndarray:
 
 
 def bucket_edges(keyed: DataFrame, radius: int, outer: int | None = None) -> DataFrame:
-    """(bucket, node[, fp]) rows to edges (u, v, sure): sure ones span the links of each bucket;
-    others are the pairs within ``outer`` that the bucket's sure edges leave apart.
+    """(bucket, node[, fp]) rows to edges (u, v) that span the links of each bucket; see ``_edges``.
 
     A large bucket is dealt to its pairs of tiles; others have one tile."""
     rest = [c for c in keyed.columns if c not in ("bucket", "node")]
@@ -286,7 +326,7 @@ def bucket_edges(keyed: DataFrame, radius: int, outer: int | None = None) -> Dat
         "bucket", F.least("tile", "other").cast("long").alias("a"), F.greatest("tile", "other").cast("long").alias("b"), "node", *rest)
     parts = max(shuffle_count(keyed.sparkSession), 1)
     ordered = dealt.repartition(parts, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "node")
-    return ordered.mapInArrow(_edges(radius, outer), "u long, v long, sure boolean")
+    return ordered.mapInArrow(_edges(radius, outer), "bucket long, a long, b long, u long, v long")
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -3,8 +3,9 @@
 64 bits and a radius of four (``simhash``) hold copies of nearly equal texts only: texts that
 share 0.8 of their five-word shingles differ in ten of 64 bits.  Here a fingerprint has
 ``BITS`` bits and two radii, ``MARGIN`` standard deviations on either side of the distance
-expected at the wanted similarity.  Within the inner one a pair is linked; between the two it
-is compared shingle by shingle, if links within its bucket leave it apart; beyond it is not.
+expected at the wanted similarity.  Within the inner one a pair is linked; between the two its
+sets of shingles are compared in the bucket's task, unless links there join it already; beyond
+it is not linked.  No pair leaves a task unless it is an edge of a forest.
 
 Which fingerprints meet is decided by ``bands``: each is a hash of ``ROWS`` minima of the
 shingles' hashes, so texts that share 0.8 of them agree in one band at least with a
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut
-from .simhash import bucket_edges, majority, shingle_hashes
+from .shared import cut, shuffle_count
+from .simhash import bucket_edges, majority, proven_edges, shingle_hashes
 
 BITS = 1024
 ROWS = 5
@@ -97,18 +98,23 @@ def similar_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: i
     slim = cut(picked.mapInArrow(run, "doc_id long, fp binary, bands array<long>"), "similar")
     nodes = cut(slim.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")), "similar-nodes")
     keyed = nodes.select("node", "fp", F.posexplode("bands")).select("node", "fp", F.xxhash64("pos", "col").alias("bucket"))
-    edges = cut(bucket_edges(keyed, *radii(similarity)).distinct(), "similar-edges")
-    unsure = edges.filter("not sure").select("u", "v")
-    proven = _proven(picked, unsure, shingle, similarity)
-    roots = components(edges.filter("sure").select("u", "v").unionByName(proven))
+    inner, outer = radii(similarity)
+    found = cut(bucket_edges(keyed, inner, outer), "similar-edges")
+    unsure = found.filter("bucket is not null").select("bucket", "a", "b", F.col("u").alias("node"))
+    sets = cut(_sets(picked, unsure, shingle), "similar-sets")
+    full = unsure.join(nodes.select("node", "fp"), "node").join(sets, "node").select("bucket", "a", "b", "node", "fp", "hashes")
+    parts = shuffle_count(docs.sparkSession)
+    proven = full.repartition(parts, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "node").mapInArrow(
+        proven_edges(inner, outer, similarity), "u long, v long")
+    roots = components(found.filter("bucket is null").select("u", "v").unionByName(proven))
     # written: the join after it meets fingerprints with very many rows, which AQE splits only between plain exchanges
     named = cut(nodes.join(roots.withColumnRenamed("node", "__at"), F.col("node") == F.col("__at"), "left").select(
         "fp", F.coalesce("root", "node").alias("component_id")), "similar-named")
     return slim.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id")
 
 
-def _proven(picked: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of ids whose sets of shingle hashes have that Jaccard similarity."""
+def _sets(picked: DataFrame, unsure: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes): the sets of shingle hashes of the nodes that have an unsure pair."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
@@ -116,13 +122,8 @@ def _proven(picked: DataFrame, pairs: DataFrame, shingle: int, similarity: float
                 sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
-    ids = cut(pairs.select("u").union(pairs.select("v")).distinct(), "similar-unsure")
-    wanted = picked.join(ids, picked["doc_id"] == ids["u"], "left_semi")
-    sets = cut(wanted.mapInArrow(run, "node long, hashes array<long>"), "similar-sets")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(
-        sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.filter(shared / (F.size("a") + F.size("b") - shared) >= similarity).select("u", "v")
+    ids = cut(unsure.select(F.col("node").alias("__at")).distinct(), "similar-unsure")
+    return picked.join(ids, picked["doc_id"] == ids["__at"], "left_semi").mapInArrow(run, "node long, hashes array<long>")
 
 
 def keep_representatives(docs: DataFrame, id_col="doc_id", **options) -> DataFrame:

@@ -120,7 +120,7 @@ class Forest:
                 self.label = jumped
 
 
-def sliced_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, room: int = 1 << 18) -> np.ndarray:
+def sliced_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, room: int = 1 << 16) -> np.ndarray:
     """Labels of ``fps`` (uint64, one or more columns, sorted by ``group``) joined where two of
     a group are linked.
 
@@ -145,7 +145,7 @@ def sliced_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, room:
     return forest.label
 
 
-def pairs_between(fps: np.ndarray, group: np.ndarray, label: np.ndarray, radius: int, room: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_between(fps: np.ndarray, group: np.ndarray, label: np.ndarray, radius: int, room: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one group within ``radius`` whose labels differ, each once; the members of a
     group's largest label are not compared among themselves."""
     first = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
@@ -282,7 +282,7 @@ def proven_edges(radius: int, outer: int, similarity: float):
 
 
 def _runs(batches: Iterator[pa.RecordBatch], flush) -> Iterator[pa.RecordBatch]:
-    """Whole runs of equal (bucket, tile, tile) for ``flush``: about 65,536 rows or 64 MB."""
+    """Whole runs of equal (bucket, tile, tile) for ``flush``: about 16,384 rows or 16 MB."""
     held: list[tuple] = []
     size = 0
     for batch in batches:
@@ -297,7 +297,7 @@ def _runs(batches: Iterator[pa.RecordBatch], flush) -> Iterator[pa.RecordBatch]:
                 sets[k] = np.array(x.values)
         held.append((keys, nodes, fps, sets))
         size += max(batch.nbytes, batch.num_rows << 10)
-        if size < 1 << 26:
+        if size < 1 << 24:
             continue
         keys, nodes, fps, sets = (np.concatenate(x) for x in zip(*held, strict=True))
         ends = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1

@@ -103,10 +103,14 @@ def _signed(mask: int) -> int:
 
 
 class Forest:
-    """Labels under which linked positions are joined; the label is the least position."""
+    """Labels under which linked positions are joined; the label is the least position.
+
+    ``by`` has, for each position that is not its own label, one of the given pairs; these
+    pairs are a spanning forest."""
 
     def __init__(self, n: int):
         self.label = np.arange(n)
+        self.by = np.zeros((n, 2), np.int64)
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
         while True:
@@ -115,20 +119,28 @@ class Forest:
             if not apart.any():
                 return
             i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            np.minimum.at(self.label, high, low)
+            least = self.label[high] == low
+            self.by[high[least]] = np.stack([i[least], j[least]], 1)
             while not np.array_equal(jumped := self.label[self.label], self.label):
                 self.label = jumped
 
 
 def sliced_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, room: int = 1 << 16) -> np.ndarray:
     """Labels of ``fps`` (uint64, one or more columns, sorted by ``group``) joined where two of
-    a group are linked.
+    a group are linked."""
+    return sliced_forest(fps, group, radius, room).label
+
+
+def sliced_forest(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, room: int = 1 << 16) -> Forest:
+    """The forest of the links of ``sliced_links``.
 
     First all of a group meet its first member.  Only those it does not link are queries after
     that, each against those after it and all linked ones, so a tight group costs one pass."""
     forest = Forest(len(fps))
     if not len(fps):
-        return forest.label
+        return forest
     wide = fps.reshape(len(fps), -1)
     begins = np.diff(group, prepend=group[:1] - 1) != 0
     first = np.flatnonzero(begins)
@@ -142,7 +154,7 @@ def sliced_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, room:
         order = again[np.lexsort((linked[again], group[again]))]
         for i, j in _compare(wide[order], group[order], ~linked[order], radius, room):
             forest.join(order[i], order[j])
-    return forest.label
+    return forest
 
 
 def pairs_between(fps: np.ndarray, group: np.ndarray, label: np.ndarray, radius: int, room: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -229,9 +241,10 @@ def _beyond(counter: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def _edges(radius: int, outer: int | None):
-    """Rows (bucket, tile, tile, node[, fp]) to edges (bucket, a, b, u, v) of nodes, with no
-    bucket; with ``outer`` also the nodes of pairs that it holds and links leave apart, as
-    (bucket, a, b, u, null).  Without ``fp`` a node is its own fingerprint."""
+    """Rows (bucket, tile, tile, node[, fp]) to edges (bucket, a, b, u, v) of nodes; with
+    ``outer`` each edge is a pair within ``radius``, and the nodes of pairs that ``outer`` holds
+    and links leave apart come as (bucket, a, b, u, null).  Without ``fp`` a node is its own
+    fingerprint."""
     def flush(keys, nodes, fps, _):
         group = _numbers(keys)
         met = np.bincount(group)[group] > 1
@@ -239,10 +252,11 @@ def _edges(radius: int, outer: int | None):
         if not len(nodes):
             return
         group = _numbers(keys)
-        label = sliced_links(fps, group, radius)
+        forest = sliced_forest(fps, group, radius)
+        label = forest.label
         moved = np.flatnonzero(label != np.arange(len(fps)))
-        none = pa.nulls(len(moved), pa.int64())
-        yield _batch(none, none, none, pa.array(nodes[moved]), pa.array(nodes[label[moved]]))
+        ends = forest.by[moved] if outer else np.stack([moved, label[moved]], 1)
+        yield _batch(*(pa.array(keys[moved, c]) for c in range(3)), pa.array(nodes[ends[:, 0]]), pa.array(nodes[ends[:, 1]]))
         if outer:
             open_ = np.zeros(len(nodes), bool)
             for i, j in pairs_between(fps, group, label, outer):
@@ -257,13 +271,15 @@ def _batch(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), ["bucket", "a", "b", "u", "v"])
 
 
-def proven_edges(radius: int, outer: int, similarity: float):
+def proven_edges(radius: int | None, outer: int, similarity: float):
     """Rows (bucket, tile, tile, node, fp, hashes) to edges (u, v): pairs between the radii are
-    compared by their sets of hashes, unless links of the run join them already."""
+    compared by their sets of hashes, unless links of the run join them already.  Without
+    ``radius`` all pairs within ``outer`` are."""
     def flush(keys, nodes, fps, sets):
         group = _numbers(keys)
         forest = Forest(len(nodes))
-        forest.label = sliced_links(fps, group, radius)
+        if radius is not None:
+            forest.label = sliced_links(fps, group, radius)
         for i, j in pairs_between(fps, group, forest.label.copy(), outer):
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 if forest.label[x] == forest.label[y]:

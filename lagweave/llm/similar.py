@@ -3,16 +3,18 @@
 64 bits and a radius of four (``simhash``) hold copies of nearly equal texts only: texts that
 share 0.8 of their five-word shingles differ in ten of 64 bits.  Here a fingerprint has
 ``BITS`` bits and two radii, ``MARGIN`` standard deviations on either side of the distance
-expected at the wanted similarity.  Within the inner one a pair is linked; between the two its
-sets of shingles are compared in the bucket's task, unless links there join it already; beyond
-it is not linked.  No pair leaves a task unless it is an edge of a forest.
+expected at the wanted similarity.  Texts with one set of shingles are one node.  Pairs within
+the inner radius give a forest for each bucket, and every edge of it is compared by its sets of
+shingles.  Pairs between the two are compared so in the bucket's task, unless edges there join
+them already; beyond a pair is not linked.  Where an edge fails, all pairs of its bucket within
+the outer radius are compared.  No pair leaves a task unless it is an edge of a forest.
 
 Which fingerprints meet is decided by ``bands``: each is a hash of ``ROWS`` minima of the
 shingles' hashes, so texts that share 0.8 of them agree in one band at least with a
 probability of 0.999.  Buckets are compared by carry-save counters in ``simhash``, large ones
 in tiles, and give a spanning forest of links; components are found on edges.
 
-Defined cases: null and blank texts have fingerprint 0 and are linked; texts of fewer words
+Defined cases: null and blank texts have the empty set and are linked; texts of fewer words
 than a shingle are one shingle; rows without an id are in no group and stay; rows that share
 an id stay or go together; an empty table gives an empty result; further columns are kept,
 whatever their names.
@@ -20,6 +22,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -66,11 +69,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def signature(text: str | None, shingle: int, bands: int) -> tuple[bytes, np.ndarray]:
-    """The fingerprint's bytes and the bands as signed 64-bit integers."""
+def signature(text: str | None, shingle: int, bands: int) -> tuple[bytes, bytes, np.ndarray]:
+    """A digest of the set of shingles, the fingerprint's bytes and the bands as signed 64-bit
+    integers."""
     hashes = shingle_hashes(text, shingle)
+    digest = hashlib.blake2b(np.unique(hashes).tobytes(), digest_size=16).digest()
     if not len(hashes):
-        return bytes(BITS // 8), np.zeros(bands, np.int64)
+        return digest, bytes(BITS // 8), np.zeros(bands, np.int64)
     fp = majority(hashes, lambda x: _mix(x[:, None] ^ _SALT[None, :]), len(_SALT))
     n = bands * ROWS
     least = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -80,7 +85,7 @@ def signature(text: str | None, shingle: int, bands: int) -> tuple[bytes, np.nda
     keys = np.zeros(bands, np.uint64)
     for column in least.reshape(bands, ROWS).T:
         keys = _mix(keys ^ column)
-    return fp.tobytes(), keys.view(np.int64)
+    return digest, fp.tobytes(), keys.view(np.int64)
 
 
 def similar_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -92,29 +97,48 @@ def similar_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: i
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
                 made = [signature(t.as_py(), shingle, bands) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["doc_id", "fp", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary()),
+                                                  pa.array([m[2] for m in made], pa.list_(pa.int64()))], ["doc_id", "digest", "fp", "bands"])
 
     picked = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    slim = cut(picked.mapInArrow(run, "doc_id long, fp binary, bands array<long>"), "similar")
-    nodes = cut(slim.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")), "similar-nodes")
+    slim = cut(picked.mapInArrow(run, "doc_id long, digest binary, fp binary, bands array<long>"), "similar")
+    nodes = cut(slim.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("fp", "doc_id").alias("fp"), F.min_by("bands", "doc_id").alias("bands")), "similar-nodes")
     keyed = nodes.select("node", "fp", F.posexplode("bands")).select("node", "fp", F.xxhash64("pos", "col").alias("bucket"))
     inner, outer = radii(similarity)
     found = cut(bucket_edges(keyed, inner, outer), "similar-edges")
-    unsure = found.filter("bucket is not null").select("bucket", "a", "b", F.col("u").alias("node"))
-    sets = cut(_sets(picked, unsure, shingle), "similar-sets")
-    full = unsure.join(nodes.select("node", "fp"), "node").join(sets, "node").select("bucket", "a", "b", "node", "fp", "hashes")
-    parts = shuffle_count(docs.sparkSession)
-    proven = full.repartition(parts, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "node").mapInArrow(
-        proven_edges(inner, outer, similarity), "u long, v long")
-    roots = components(found.filter("bucket is null").select("u", "v").unionByName(proven))
-    # written: the join after it meets fingerprints with very many rows, which AQE splits only between plain exchanges
+    edges = found.filter("v is not null").select("bucket", "a", "b", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    pairs = cut(edges.select("u", "v").distinct(), "similar-pairs")
+    sets = cut(_sets(picked, found.select(F.explode(F.array("u", "v")).alias("node")).filter("node is not null"), shingle), "similar-sets")
+    checked = cut(_compared(pairs, sets, similarity), "similar-checked")
+    failed = checked.filter("not same").select(F.col("u").alias("fu"), F.col("v").alias("fv"))
+    bad = cut(edges.join(failed, (F.col("u") == F.col("fu")) & (F.col("v") == F.col("fv"))).select("bucket", "a", "b").distinct(), "similar-bad")
+    again = found.join(bad, ["bucket", "a", "b"], "left_semi").select("bucket", "a", "b", F.explode(F.array("u", "v")).alias("node")).filter("node is not null").distinct()
+    unsure = found.filter("v is null").join(bad, ["bucket", "a", "b"], "left_anti").select("bucket", "a", "b", F.col("u").alias("node"))
+
+    def proven(rows: DataFrame, radius: int | None) -> DataFrame:
+        full = rows.join(nodes.select("node", "fp"), "node").join(sets, "node").select("bucket", "a", "b", "node", "fp", "hashes")
+        parts = shuffle_count(docs.sparkSession)
+        return full.repartition(parts, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "node").mapInArrow(
+            proven_edges(radius, outer, similarity), "u long, v long")
+
+    links = checked.filter("same").select("u", "v").unionByName(proven(cut(unsure, "similar-open"), inner)).unionByName(proven(cut(again, "similar-again"), None))
+    roots = components(links)
+    # written: the join after it meets digests with very many rows, which AQE splits only between plain exchanges
     named = cut(nodes.join(roots.withColumnRenamed("node", "__at"), F.col("node") == F.col("__at"), "left").select(
-        "fp", F.coalesce("root", "node").alias("component_id")), "similar-named")
-    return slim.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id")
+        "digest", F.coalesce("root", "node").alias("component_id")), "similar-named")
+    return slim.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
 
 
-def _sets(picked: DataFrame, unsure: DataFrame, shingle: int) -> DataFrame:
-    """(node, hashes): the sets of shingle hashes of the nodes that have an unsure pair."""
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, same): whether the sets of u and v are as similar as wanted."""
+    one = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("x")), "u")
+    both = one.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("y")), "v")
+    common = both.select("u", "v", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("k"))
+    return common.select("u", "v", (F.col("k") / F.greatest(F.col("n") - F.col("k"), F.lit(1)) >= similarity).alias("same"))
+
+
+def _sets(picked: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes): the sets of shingle hashes of the nodes wanted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
@@ -122,7 +146,7 @@ def _sets(picked: DataFrame, unsure: DataFrame, shingle: int) -> DataFrame:
                 sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
-    ids = cut(unsure.select(F.col("node").alias("__at")).distinct(), "similar-unsure")
+    ids = cut(wanted.select(F.col("node").alias("__at")).distinct(), "similar-wanted")
     return picked.join(ids, picked["doc_id"] == ids["__at"], "left_semi").mapInArrow(run, "node long, hashes array<long>")
 
 

@@ -374,6 +374,26 @@ def test_similar_groups_against_brute_force(spark, monkeypatch, tile):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
 
 
+def test_similar_texts_with_one_filler_stay(spark):
+    rng = random.Random(6)
+    texts = [" ".join([f"w{rng.randint(0, 10**6)}" for _ in range(425)] + ["-"] * 80) for _ in range(8)]
+    got = similar.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(brute_similar(texts, 0.8))) == {i: i for i in range(8)}
+
+
+@pytest.mark.parametrize("tile", [8192, 16])
+def test_similar_links_are_compared_by_sets(spark, monkeypatch, tile):
+    """Radii that hold nearly every pair of a bucket change no group."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(similar, "radii", lambda similarity: (450, 460))
+    rng = random.Random(12)
+    hub = [f"h{rng.randint(0, 5000)}" for _ in range(200)]
+    texts = [edited(rng, hub, rng.randint(1, 12)) for _ in range(90)]
+    got = similar.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    label = brute_similar(texts, 0.8)
+    assert len(set(label)) > 2 and {r.doc_id: r.component_id for r in got} == dict(enumerate(label))
+
+
 def test_similar_rows_without_an_id_or_sharing_one(spark):
     text = " ".join(f"w{i}" for i in range(60))
     data = [(None, text), (None, text), (4, text), (4, text), (7, text + " more"), (9, None), (10, " \n"), (11, "few words"), (12, "few words")]

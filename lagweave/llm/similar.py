@@ -72,8 +72,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def signature(text: str | None, shingle: int, bands: int) -> tuple[bytes, bytes, np.ndarray]:
     """A digest of the set of shingles, the fingerprint's bytes and the bands as signed 64-bit
     integers."""
-    hashes = shingle_hashes(text, shingle)
-    digest = hashlib.blake2b(np.unique(hashes).tobytes(), digest_size=16).digest()
+    hashes = np.unique(shingle_hashes(text, shingle))  # the radii are those of sets
+    digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
     if not len(hashes):
         return digest, bytes(BITS // 8), np.zeros(bands, np.int64)
     fp = majority(hashes, lambda x: _mix(x[:, None] ^ _SALT[None, :]), len(_SALT))

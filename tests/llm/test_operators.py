@@ -381,6 +381,16 @@ def test_similar_texts_with_one_filler_stay(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(brute_similar(texts, 0.8))) == {i: i for i in range(8)}
 
 
+def test_similar_copies_that_repeat_a_line_are_found(spark):
+    rng = random.Random(8)
+    texts = []
+    for n in (200, 1000):
+        lines = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(10)) for _ in range(n // 10)]
+        texts += ["\n".join(lines), "\n".join(lines[:5] + lines[4:5] * 12 + lines[5:])]
+    got = similar.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(brute_similar(texts, 0.8))) == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
 @pytest.mark.parametrize("tile", [8192, 16])
 def test_similar_links_are_compared_by_sets(spark, monkeypatch, tile):
     """Radii that hold nearly every pair of a bucket change no group."""

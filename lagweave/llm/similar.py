@@ -2,8 +2,8 @@
 
 64 bits and a radius of four (``simhash``) hold copies of nearly equal texts only: texts that
 share 0.8 of their five-word shingles differ in ten of 64 bits.  Here a fingerprint has
-``BITS`` bits and two radii, ``MARGIN`` standard deviations on either side of the distance
-expected at the wanted similarity.  Texts with one set of shingles are one node.  Pairs within
+``BITS`` bits and two radii, ``MARGIN`` standard deviations below and ``REACH`` above the
+distance expected at the wanted similarity.  Texts with one set of shingles are one node.  Pairs within
 the inner radius give a forest for each bucket, and every edge of it is compared by its sets of
 shingles.  Pairs between the two are compared so in the bucket's task, unless edges there join
 them already; beyond a pair is not linked.  Where an edge fails, all pairs of its bucket within
@@ -38,6 +38,7 @@ from .simhash import bucket_edges, majority, proven_edges, shingle_hashes
 BITS = 1024
 ROWS = 5
 MARGIN = 3.0
+REACH = 4.5
 MISS = 0.001
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -52,8 +53,8 @@ _SHIFT = _draw.integers(0, 1 << 64, 4096, dtype=np.uint64)
 def radii(similarity: float, bits: int = BITS) -> tuple[int, int]:
     """Two sets of one size and Jaccard similarity s have a cosine of 2s / (1 + s)."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    off = MARGIN * math.sqrt(bits * share * (1 - share))
-    return max(math.floor(bits * share - off), 0), math.ceil(bits * share + off)
+    off = math.sqrt(bits * share * (1 - share))
+    return max(math.floor(bits * share - MARGIN * off), 0), math.ceil(bits * share + REACH * off)
 
 
 def bands_for(similarity: float) -> int:

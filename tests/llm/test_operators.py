@@ -423,6 +423,17 @@ def test_radii_part_the_similarities():
         assert low <= np.bitwise_count(fp(a) ^ fp(b)).sum() <= high
 
 
+def test_outer_radius_holds_borderline_pairs():
+    outer = similar.radii(0.8)[1]
+    rng = np.random.default_rng(5)
+    fp = lambda h: simhash.majority(h, lambda x: similar._mix(x[:, None] ^ similar._SALT[None, :]), len(similar._SALT))
+    far = []
+    for _ in range(4000):  # 80 of 100 shingles in all are shared
+        h = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        far.append(int(np.bitwise_count(fp(h[:90]) ^ fp(h[10:])).sum()))
+    assert max(far) <= outer
+
+
 def test_components_on_a_long_chain(spark):
     from lagweave.llm.components import components
 

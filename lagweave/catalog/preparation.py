@@ -54,7 +54,7 @@ def resolve_mcc_coalesce(spark, sf_dir):
 
 def sort_dataset(spark, sf_dir):
     ev = table(spark, sf_dir, "events").withColumn("event_timestamp", F.col("ts"))
-    return preprocess.dataset_layout(ev).select("event_id", F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss").alias("at")).limit(500)
+    return preprocess.dataset_layout(ev).select("event_id", F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 def _encoding_inputs(spark, sf_dir):

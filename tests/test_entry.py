@@ -36,5 +36,12 @@ def test_query_equals_sql(spark, con, name):
     assert sorted(repr(tuple(r)) for r in df.select(*names).collect()) == want
 
 
+def test_sort_dataset_returns_the_whole_table_in_order(spark, con):
+    got = entry.queries()["sort_dataset"](spark, D).collect()
+    want = con.execute("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') FROM events").fetchall()
+    assert len(want) > 500 and sorted(map(tuple, got)) == sorted(want)
+    assert [r["at"] for r in got] == sorted(r["at"] for r in got)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

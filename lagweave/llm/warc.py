@@ -10,6 +10,7 @@ successors inside the range.  Pointer jumping from each file's start over (offse
 pairs finds the one offset at which the chain of genuine records enters each range; the
 number of rounds is the logarithm of a file's number of ranges.  Records are then read
 along the chain from these offsets, so a record header inside a payload is never taken for one.
+A file whose chain does not end at its size with the manifest's number of records is an error.
 
 Defined cases: a null page is an empty payload; null ids and urls are kept; ids that occur
 twice give a record each; equal payloads without an id among them have no revisits; an empty
@@ -33,7 +34,7 @@ from .shared import cut, new_path, open_shared, publish_shared, release
 
 MIN_BYTES = 1000
 RANGE = 4 << 20
-MAX_HEADER = 1 << 16
+HEADER = 1 << 16  # bytes read at first for a header; longer ones are read to their end
 DATE = "2024-01-01T00:00:00Z"
 MAGIC = b"WARC/1.1\r\n"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space for URLs
@@ -64,7 +65,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     """Fields of the record header at ``at`` and the offset of its block; None if it is none."""
-    end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
+    end = data.find(b"\r\n\r\n", at)
     if not data.startswith(MAGIC, at) or end < 0:
         return None
     fields = {}
@@ -76,6 +77,14 @@ def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     return (fields, end + 4) if fields.get("content-length", "").isdigit() else None
 
 
+def _to_header_end(file, data: bytes, begin: int, at: int, size: int) -> bytes:
+    """``data``, which ``file`` holds from ``begin`` on, with more of it until the header at ``at`` ends."""
+    while data.find(b"\r\n\r\n", at) < 0 and begin + len(data) < size:
+        file.seek(begin + len(data))
+        data += file.read(min(max(HEADER, len(data) - at), size - begin - len(data)))
+    return data
+
+
 def plan_records(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """(page_id, url, html, refers_to).  Equality is by SHA-256 and length; a group costs one
     row per task, and the table of groups is written, so its size decides how it is joined."""
@@ -113,9 +122,10 @@ def write_archives(pages: DataFrame, folder: str, **columns) -> DataFrame:
 def candidates(file, begin: int, end: int, size: int) -> list[tuple[int, int]]:
     """(offset, successor) of every place in [begin, end) where a record header stands."""
     file.seek(begin)
-    data = file.read(min(size, end + MAX_HEADER) - begin)
+    data = file.read(min(size, end + HEADER) - begin)
     found, at = [], data.find(MAGIC)
     while 0 <= at < end - begin:
+        data = _to_header_end(file, data, begin, at, size)
         if parsed := parse_header(data, at):
             found.append((begin + at, begin + parsed[1] + int(parsed[0]["content-length"]) + 4))
         at = data.find(MAGIC, at + 1)
@@ -127,16 +137,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with open_shared(row["file"], "rb") as file:
             found = candidates(file, row["begin"], row["end"], row["bytes"])
         exits: dict[int, int] = {}
+        counts: dict[int, int] = {}
         for offset, successor in reversed(found):  # None: the chain breaks inside the range
             exits[offset] = successor if successor >= row["end"] else exits.get(successor)
+            counts[offset] = 1 + counts.get(successor, 0)
         n = len(found)
         yield pa.RecordBatch.from_arrays([pa.array([row["file"]] * n, pa.string()), pa.array([row["end"]] * n, pa.int64()), pa.array([row["bytes"]] * n, pa.int64()),
-                                          pa.array([o for o, _ in found], pa.int64()), pa.array([s for _, s in found], pa.int64()), pa.array([exits[o] for o, _ in found], pa.int64())],
-                                         ["file", "end", "bytes", "offset", "successor", "exit"])
+                                          pa.array([o for o, _ in found], pa.int64()), pa.array([s for _, s in found], pa.int64()), pa.array([exits[o] for o, _ in found], pa.int64()), pa.array([counts[o] for o, _ in found], pa.int64())],
+                                         ["file", "end", "bytes", "offset", "successor", "exit", "records"])
 
 
 def chain_entries(marks: DataFrame) -> DataFrame:
-    """Where the chain from each file's start enters each range: (file, offset, end, bytes).
+    """Where the chain from each file's start enters each range, where it leaves it and after how many
+    records: (file, offset, end, bytes, exit, records).
 
     Pointer jumping: after k rounds everything within 2^k jumps of the start is reached."""
     jumps = marks.filter("exit is not null and exit < bytes").select("file", F.col("offset").alias("from"), F.col("exit").alias("to"))
@@ -152,7 +165,7 @@ def chain_entries(marks: DataFrame) -> DataFrame:
         a, b = jumps.alias("a"), jumps.alias("b")
         doubled = a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.to") == F.col("b.from"))).select("a.file", "a.from", "b.to")
         jumps = cut(doubled, "warc-jumps")
-    return marks.join(reached, ["file", "offset"]).select("file", "offset", "end", "bytes", "exit")
+    return marks.join(reached, ["file", "offset"]).select("file", "offset", "end", "bytes", "exit", "records")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +179,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = row["offset"]
             while at < row["exit"]:
                 file.seek(at)
-                head = file.read(MAX_HEADER)
+                head = _to_header_end(file, file.read(HEADER), at, 0, row["bytes"])
                 fields, block = parse_header(head, 0)
                 length = int(fields["content-length"])
                 body = head[block : block + length]
@@ -188,8 +201,12 @@ def read_archives(manifest: DataFrame, span: int = RANGE) -> DataFrame:
     begins = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(span).cast("long")))
     ranges = manifest.filter("bytes > 0").select("file", "bytes", begins.alias("begin")).withColumn("end", F.least(F.col("begin") + span, F.col("bytes")))
     total = manifest.agg(F.sum(F.ceil(F.col("bytes") / span))).first()[0] or 1
-    marks = cut(ranges.repartition(int(total)).mapInArrow(_scan, "file string, end long, bytes long, offset long, successor long, exit long"), "warc-marks")
-    entries = chain_entries(marks)
+    marks = cut(ranges.repartition(int(total)).mapInArrow(_scan, "file string, end long, bytes long, offset long, successor long, exit long, records long"), "warc-marks")
+    entries = cut(chain_entries(marks), "warc-entries")
+    ends = entries.groupBy("file").agg(F.max("exit").alias("last"), F.sum("records").alias("n"))
+    broken = manifest.join(ends, "file", "left").filter("bytes > 0 and not (last <=> bytes and n <=> n_records)").first()
+    if broken:
+        raise ValueError(f"{broken['file']}: the chain of records ends at {broken['last']} of {broken['bytes']} bytes with {broken['n']} of {broken['n_records']} records")
     return entries.repartition(int(total)).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 

@@ -519,6 +519,16 @@ def test_warc(spark, tmp_path):
         assert by_row(got, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == Counter(want)
 
 
+@pytest.mark.parametrize("span", [1 << 16, 1 << 20])
+def test_warc_headers_of_any_length(spark, tmp_path, span):
+    pages = [(i, "data:" + "x" * n, f"page {i}") for i, n in enumerate([200_000, 10, 70_000, 20, 300_000, 5])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(df, f"{tmp_path}/{span}")
+    assert by_row(warc.read_archives(manifest, span), "page_id", "url") == Counter(p[:2] for p in pages)
+    with pytest.raises(ValueError, match="chain of records ends"):
+        warc.read_archives(manifest.withColumn("n_records", F.col("n_records") + 1), span).collect()
+
+
 def test_pipeline_against_brute_force(spark, docs, tmp_path):
     import corpus_pipeline
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -26,21 +27,49 @@ def shared_dir(spark: SparkSession) -> str:
     Where the setting is absent a temporary folder is made, but only in local mode,
     where one machine is the whole cluster; elsewhere the absence is an error.
     """
-    conf = spark.sparkContext.getConf()
+    conf, context = spark.sparkContext.getConf(), spark.sparkContext
     found = conf.get("spark.checkpoint.dir")
     if found:
-        return found.rstrip("/")
+        # with its scheme, so that Spark and plain file access mean one place
+        path = context._jvm.org.apache.hadoop.fs.Path(found)
+        return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     if not conf.get("spark.master", "").startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
+    app = context.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="lagweave-")
         atexit.register(shutil.rmtree, _own_dirs[app], True)
     return _own_dirs[app]
 
 
+_work_dirs: dict[str, str] = {}
+
+
+def work_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one.  It is removed when the driver ends;
+    until then results may still be read from it."""
+    app = spark.sparkContext.applicationId
+    if app not in _work_dirs:
+        _work_dirs[app] = f"{shared_dir(spark)}/lagweave-{app}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_work_dirs[app])
+        atexit.register(_remove, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
+    return _work_dirs[app]
+
+
+def _remove(store, path) -> None:
+    with contextlib.suppress(Exception):  # the driver's JVM may be gone already
+        store.delete(path, True)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every intermediate table and file of this application; results that were not
+    written elsewhere go with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -77,9 +106,7 @@ def open_shared(path: str, mode: str):
         if "w" in mode:
             os.makedirs(os.path.dirname(local), exist_ok=True)
         return open(local, mode)
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(path)
+    store, inner = _store(path)
     if "w" in mode:
         store.create_dir(os.path.dirname(inner), recursive=True)
         return store.open_output_stream(inner)
@@ -92,10 +119,17 @@ def publish_shared(written: str, final: str) -> None:
     if "://" not in local_path(written):
         os.replace(local_path(written), local_path(final))
         return
+    (store, inner), target = _store(written), _store(final)[1]
+    if store.get_file_info(target).is_file:  # of an earlier attempt
+        store.delete_file(target)
+    store.move(inner, target)
+
+
+def _store(path: str):
     from pyarrow import fs
 
-    store, inner = fs.FileSystem.from_uri(written)
-    store.move(inner, fs.FileSystem.from_uri(final)[1])
+    scheme, rest = path.split("://", 1)
+    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
 
 
 def word_count(text: Column) -> Column:

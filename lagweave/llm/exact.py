@@ -1,23 +1,28 @@
 """Exact deduplication with counting quotient filters.
 
-Each task builds a counting quotient filter of its fingerprints (64 bits: the upper ``q`` are
-the quotient, the lower ``64 - q`` the remainder; run ends per quotient, remainders sorted in
-each run, one count per remainder), cut into segments of consecutive quotients.  Filters of
-the same segment are merged by walking their sorted remainders; nothing is lost, since
-quotient and remainder give the fingerprint back.  Fingerprints with a count above one are
-the candidates: their texts, and no others, are brought together and compared byte by byte.
+Each task builds one filter of its fingerprints for each segment of the 64-bit range.  A
+fingerprint's offset in its segment is cut into a quotient of ``q`` bits, chosen for a load of
+at most ``LOAD``, and a remainder of ``r``.  Slots hold remainders; a quotient's run of sorted
+remainders starts at its home slot or after the run before it, and three bits a slot say
+whether the quotient with that number is occupied, whether a run ends there, and whether the
+slot is a counter of the remainder before it (only counts above one have a counter).
+Filters of a segment, of whatever ``q``, are merged by walking their sorted entries; nothing
+is lost, since quotient and remainder give the fingerprint back.  Fingerprints with a count
+above one are the candidates: their texts, and no others, are brought together and compared
+byte by byte.
 
 Hot groups: a task adds a group's copies up before anything is moved, both in its filter and
 when texts are grouped, so a group costs one row per task however many copies it has.
 
 Defined cases: a null text is empty; all blank texts are equal; of equal texts the one with
 the most code points stays, then the smallest id (a null id comes last); repeated rows with
-one id form a group of which one row stays; an empty table gives an empty result; further
-columns are ignored.
+one id form a group of which one row stays; a very long text is hashed and compared whole; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,28 +32,68 @@ from pyspark.sql import functions as F
 
 from .shared import SPACE, cut, shuffle_count
 
-Q_BITS = 20  # quotients of a filter; the remainder has the other 44 bits
+LOAD = 0.8
 BLOOM_WORDS = 1 << 20  # 64-bit words of the bitmap that keeps unique texts from being moved: 16 MB of rows
 
 
-def build_segments(fingerprints: np.ndarray, segments: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
-    """Filter of the fingerprints (uint64), by segment: segment, occupied quotients, run
-    ends, remainders, counts."""
+def segment_bounds(segment: int, segments: int) -> tuple[int, int]:
+    """The first fingerprint of a segment and the bits that an offset in it needs."""
+    first, after = (-(-s * (1 << 32) // segments) << 32 for s in (segment, segment + 1))
+    return first, max(after - first - 1, 1).bit_length()
+
+
+def _bits(at: np.ndarray, n: int) -> bytes:
+    flags = np.zeros(n, np.uint8)
+    flags[at] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def build_segments(fingerprints: np.ndarray, segments: int) -> Iterator[tuple[int, int, int, bytes, bytes, bytes, bytes]]:
+    """Filters of the fingerprints (uint64): segment, first fingerprint (signed), bits of a
+    remainder, occupied quotients, run ends, counter slots, slots."""
     values, counts = np.unique(fingerprints, return_counts=True)
-    quotients = (values >> np.uint64(64 - Q_BITS)).astype(np.int64)
-    remainders = values & np.uint64((1 << (64 - Q_BITS)) - 1)
-    parts = quotients * segments >> Q_BITS
+    parts = ((values >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
     edges = np.flatnonzero(np.diff(parts, prepend=-1, append=segments))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        occupied, ends = np.unique(quotients[a:b], return_counts=True)
-        yield int(parts[a]), occupied.astype("<u4").tobytes(), np.cumsum(ends).astype("<u4").tobytes(), remainders[a:b].astype("<u8").tobytes(), counts[a:b].astype("<u8").tobytes()
-
-
-def open_segment(occupied: bytes, ends: bytes, remainders: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted fingerprints and counts of a segment."""
-    lengths = np.diff(np.frombuffer(ends, "<u4").astype(np.int64), prepend=0)
-    quotients = np.repeat(np.frombuffer(occupied, "<u4").astype(np.uint64), lengths)
-    return (quotients << np.uint64(64 - Q_BITS)) | np.frombuffer(remainders, "<u8"), np.frombuffer(counts, "<u8")
+        first, width = segment_bounds(int(parts[a]), segments)
+        more = counts[a:b] > 1
+        place = np.cumsum(1 + more) - 1 - more  # of each remainder among the entries
+        n = (b - a) + int(more.sum())
+        q = min(max(math.ceil(math.log2(n / LOAD)), 1), width - 8)
+        offsets = values[a:b] - np.uint64(first)
+        entries, quotients, counter = np.empty(n, np.uint64), np.empty(n, np.int64), np.ones(n, bool)
+        counter[place] = False
+        quotients[place] = (offsets >> np.uint64(width - q)).astype(np.int64)
+        entries[place] = offsets & np.uint64((1 << (width - q)) - 1)
+        quotients[counter], entries[counter] = quotients[place[more]], counts[a:b][more]
+        slot = np.maximum.accumulate(quotients - np.arange(n)) + np.arange(n)
+        size = int(slot[-1]) + 1
+        slots = np.zeros((size, 8), np.uint8)
+        slots[slot] = entries.astype("<u8").view(np.uint8).reshape(-1, 8)
+        ends = slot[np.diff(quotients, append=-1) != 0]
+        wide = (max(width - q, int(counts[a:b].max()).bit_length()) + 7) // 8
+        yield (int(parts[a]), first - (1 << 64 if first >= 1 << 63 else 0), width - q, _bits(quotients, 1 << q), _bits(ends, size), _bits(slot[counter], size),
+               np.ascontiguousarray(slots[:, :wide]).tobytes())
+
+
+def open_segment(first: int, r: int, occupied: bytes, run_ends: bytes, counters: bytes, slots: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted fingerprints and counts of a filter."""
+    flags = lambda raw: np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
+    quotients, ends = np.flatnonzero(flags(occupied)), np.flatnonzero(flags(run_ends))
+    starts = np.maximum(quotients, np.append(-1, ends[:-1]) + 1)
+    lengths = ends - starts + 1
+    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+    counter = flags(counters)[at].astype(bool)
+    wide = len(slots) // (int(ends[-1]) + 1)
+    whole = np.zeros((len(at), 8), np.uint8)
+    whole[:, :wide] = np.frombuffer(slots, np.uint8).reshape(-1, wide)[at]
+    entries = whole.view("<u8").reshape(-1)
+    place = np.flatnonzero(~counter)
+    values = ((np.repeat(quotients, lengths)[place].astype(np.uint64) << np.uint64(r)) | entries[place]) + np.uint64(first % (1 << 64))
+    counts = np.ones(len(at), np.uint64)
+    counted = np.flatnonzero(counter)
+    counts[counted - 1] = entries[counted]
+    return values, counts[place]
 
 
 def merge_segments(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +104,8 @@ def merge_segments(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.nda
     return values[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-SEGMENT = "segment int, occupied binary, ends binary, remainders binary, counts binary"
+FILTER = ["segment", "first", "r", "occupied", "run_ends", "counters", "slots"]
+SEGMENT = "segment int, first long, r int, occupied binary, run_ends binary, counters binary, slots binary"
 
 
 def _filters(segments: int):
@@ -67,12 +113,13 @@ def _filters(segments: int):
         held = [np.asarray(b.column(0)).view(np.uint64) for b in batches if b.num_rows]
         if held:
             rows = list(zip(*build_segments(np.concatenate(held), segments), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], ["segment", "occupied", "ends", "remainders", "counts"])
+            kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], FILTER)
     return run
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    parts = [open_segment(*x) for x in zip(*(table.column(c).to_pylist() for c in ("occupied", "ends", "remainders", "counts")), strict=True)]
+    parts = [open_segment(*x) for x in zip(*(table.column(c).to_pylist() for c in FILTER[1:]), strict=True)]
     while len(parts) > 1:  # pairwise, so each entry is moved log n times
         parts = [merge_segments(*parts[i:i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
     values, counts = parts[0]

@@ -6,14 +6,16 @@ A shard is ``BPL1``, its chunks, a footer and the footer's length.  A chunk hold
 kind of plane, compressed length of each plane) and the documents (id, number of ids).
 
 Shards are written by the tasks of one range partitioning by document id, under names that
-depend on the partition only; a finished file replaces that of a lost attempt.  Texts are
-encoded a word at a time: normaliser and pre-tokenizer of such files never look across white
-space, so a word's ids do not depend on its neighbours, and each worker keeps a bounded
-table of words it has seen.
+depend on the partition only; a finished file replaces that of a lost attempt.  Texts are encoded a word at
+a time where a tokenizer file allows it: if probes show that its normaliser and pre-tokenizer
+do not look across white space, a word's ids do not depend on its neighbours, and each worker
+keeps a bounded table of words it has seen.  Other files, and texts with the string of an
+added token (which the library turns into that token's id), are encoded whole by the library.
 
 Defined cases: a null text is empty and has the end id alone; null document ids come first;
-rows that share an id are ordered by a hash of their text; an empty table writes no shard
-and gives an empty result; further columns are ignored.
+rows that share an id are ordered, and dealt to shards, by a hash of their text; a very long
+text is encoded whole and stored over as many chunks as it takes; an empty table writes no
+shard and gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ MARKS = re.compile("[̀-ͯ]")
 # normaliser unchanged and are one or two pre-tokens
 PLAIN_WORD = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?]*)")
 PROBES = ("a", "word", "thing,", "\u00e9t\u00e9", "stra\u00dfe...", "na\u00efvely?!")
+CASED = "Some WORDS, McGee's, X\u00c9Y"
+SPACED = ("two words", "It's (a) test", "12 34,5", "\u6587 \u5b57!", "end. \u00abSo\u00bb")
 
 
 def pack(ids: np.ndarray, planes: str = "byte") -> list[bytes]:
@@ -141,9 +145,10 @@ def byte_characters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Ids of texts for tokenizer files whose splits stay inside white-space-separated words.
+    """Ids of texts, as the library gives them without special tokens around them.
 
-    New plain words go straight to the BPE model, if that gives the probes the ids of the
+    ``by_word`` tells whether probes allow words to be encoded one at a time, and ``lowers``
+    whether ASCII capitals make no difference.  New plain words go straight to the BPE model, if that gives the probes the ids of the
     whole pipeline; all others go through the pipeline together, with a separator between
     them.  ``limit`` bounds the table of words, which is emptied when full."""
 
@@ -154,12 +159,15 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted(t.content for t in self.inner.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         self.tokenize = self.inner.model.tokenize
         self.mark = self._piped(self.SEPARATOR)
         self.limit, self.seen, self.tails, self.chars = limit, {}, {b"": b""}, byte_characters()
         self.direct = True
-        self.direct = all(self._plain(w.encode("utf-8")) == np.array(self._piped(w), "<u4").tobytes() for w in PROBES)
+        self.by_word = all(self._piped(x) == [i for w in x.split() for i in self._piped(w)] == self._piped(x.replace(" ", "\n \t")) for x in SPACED)
+        self.lowers = self._piped(CASED) == self._piped("".join(c.lower() if c.isascii() else c for c in CASED))
+        self.direct = self.by_word and all(self._plain(w.encode("utf-8")) == np.array(self._piped(w), "<u4").tobytes() for w in PROBES)
 
     def _piped(self, text: str) -> list[int]:
         return self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -199,20 +207,26 @@ class WordEncoder:
         for word in odd:
             self.seen[word] = np.array(self._piped(word.decode("utf-8")), "<u4").tobytes()
 
+    def _whole(self, text: str | None) -> bool:
+        return not self.by_word or bool(text and self.added and self.added.search(text))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = []
         for text in texts:
+            if self._whole(text):
+                split.append([])
+                continue
             raw = (text or "").encode("utf-8")
             # ASCII letters may be lowered first unless a mark could join them
-            split.append(raw.lower().split() if text and not MARKS.search(text) else raw.split())
+            split.append(raw.lower().split() if text and self.lowers and not MARKS.search(text) else raw.split())
         if len(self.seen) > self.limit:
             self.seen = {}
         new = set().union(*split).difference(self.seen) if split else ()
         if new:
             self._learn(list(new))
         get = self.seen.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [np.array(self._piped(text or ""), "<u4").tobytes() if self._whole(text) else b"".join(map(get, words)) for text, words in zip(texts, split, strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -259,7 +273,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [final], "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids], "bytes": [size]})
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = picked.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    place = ["doc_id", F.xxhash64("text")]  # the hash deals rows of one id to several ranges
+    ordered = picked.repartitionByRange(*place).sortWithinPartitions(*place)
     return cut(ordered.mapInArrow(run, MANIFEST), "bpl-manifest")
 
 

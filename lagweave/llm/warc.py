@@ -13,8 +13,9 @@ along the chain from these offsets, so a record header inside a payload is never
 A file whose chain does not end at its size with the manifest's number of records is an error.
 
 Defined cases: a null page is an empty payload; null ids and urls are kept; ids that occur
-twice give a record each; equal payloads without an id among them have no revisits; an empty
-table writes no file and gives an empty result; further columns are ignored.
+twice give a record each; equal payloads without an id among them have no revisits; pages and
+urls of any length are written and read whole; an empty table writes no file and gives an
+empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -151,21 +152,28 @@ def chain_entries(marks: DataFrame) -> DataFrame:
     """Where the chain from each file's start enters each range, where it leaves it and after how many
     records: (file, offset, end, bytes, exit, records).
 
-    Pointer jumping: after k rounds everything within 2^k jumps of the start is reached."""
-    jumps = marks.filter("exit is not null and exit < bytes").select("file", F.col("offset").alias("from"), F.col("exit").alias("to"))
-    reached = cut(marks.filter("offset = 0").select("file", "offset"), "warc-reached")
+    Only a candidate at which some other candidate's chain leaves a range, or which opens its
+    file, can be an entry; there are a few such to a range, and the others are left out before
+    pointers are followed.  After k rounds everything within 2^k jumps of the start is reached.
+    All joins are by sorting: none of these tables has a bound that would allow a broadcast."""
+    left = marks.filter("exit is not null and exit < bytes").select(F.col("file").alias("f"), F.col("exit").alias("at")).distinct()
+    met = marks.join(left.hint("merge"), (marks["file"] == left["f"]) & (marks["offset"] == left["at"]), "left")
+    heads = cut(met.filter("offset = 0 or at is not null").drop("f", "at"), "warc-heads")
+    jumps = heads.filter("exit is not null and exit < bytes").select(F.col("file").alias("f"), F.col("offset").alias("from"), F.col("exit").alias("to"))
+    reached = cut(heads.filter("offset = 0").select("file", "offset"), "warc-reached")
     n = reached.count()
     while True:
-        step = reached.join(jumps, (reached["file"] == jumps["file"]) & (reached["offset"] == jumps["from"])).select(reached["file"], F.col("to").alias("offset"))
+        step = reached.join(jumps.hint("merge"), (reached["file"] == jumps["f"]) & (reached["offset"] == jumps["from"])).select(reached["file"], F.col("to").alias("offset"))
         after = cut(reached.unionByName(step).distinct(), "warc-reached")
         release(reached)
         reached, before, n = after, n, after.count()
         if n == before:
             break
         a, b = jumps.alias("a"), jumps.alias("b")
-        doubled = a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.to") == F.col("b.from"))).select("a.file", "a.from", "b.to")
-        jumps = cut(doubled, "warc-jumps")
-    return marks.join(reached, ["file", "offset"]).select("file", "offset", "end", "bytes", "exit", "records")
+        doubled = a.join(b.hint("merge"), (F.col("a.f") == F.col("b.f")) & (F.col("a.to") == F.col("b.from"))).select("a.f", "a.from", "b.to")
+        older, jumps = jumps, cut(doubled, "warc-jumps")
+        release(older)
+    return heads.join(reached.hint("merge"), ["file", "offset"]).select("file", "offset", "end", "bytes", "exit", "records")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,8 @@
    numbers (its positions), in a file of the shared folder, packed into byte planes.
 2. The block's distinct words go to buckets by a hash of the word, one packed row per block
    and bucket.  A bucket's task meets every block's copies of its words and encodes each
-   distinct word once.
+   distinct word once; its table of words is emptied at ``SEEN`` bytes, after which a word may
+   be encoded a second time.
 3. Ids go back to the block the same way and replace the numbers, position by position.
 4. Decoding joins ids with the table of token bytes, which has one row per rank (50,256 in
    the files used) and is held by every task.
@@ -15,8 +16,8 @@ corpus is one entry per block.  Block files have names that depend on the partit
 block's number in it, so a repeated task writes the same file again.
 
 Defined cases: a null text is empty and has no ids; null document ids are kept; repeated rows
-are encoded each for itself; a lone text above the block size is a block of its own; an empty
-table gives an empty result; further columns are ignored.
+are encoded each for itself; a very long text is never cut, and above the block size it is a
+block of its own; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from .bitplanes import pack, unpack
 from .shared import new_path, open_shared, publish_shared, shuffle_count
 
 BLOCK_CHARS = 8_000_000
+SEEN = 256 << 20  # bytes of the words a bucket's task remembers
+ENTRY = 150  # bytes of an entry besides its word and ids
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -180,15 +183,16 @@ def _splitter(folder: str, path: str, pattern: str, buckets: int, block_chars: i
 
 def _word_encoder(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, now = encoder(path, pattern), {}, None
+        own, seen, size, now = encoder(path, pattern), {}, 0, None
         for batch in batches:
             for block, bucket, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if bucket != now:
-                    seen, now = {}, bucket
+                if bucket != now or size > SEEN:
+                    seen, size, now = {}, 0, bucket
                 words = unpack_words(blob)
                 for word in words:
                     if word not in seen:
-                        seen[word] = np.array(own.piece(word), "<u4").tobytes()
+                        ids = seen[word] = np.array(own.piece(word), "<u4").tobytes()
+                        size += len(word) + len(ids) + ENTRY
                 yield _row(block, bucket, pack_words([seen[w] for w in words]))
     return run
 

@@ -11,8 +11,8 @@ columns, whose texts are encoded as one with a line break between them, which be
 field before it.
 
 Defined cases: a null or empty text has one empty section and no tokens; null fields are
-empty; repeated rows are counted each for itself; an empty table gives an empty result;
-further columns are ignored.
+empty; null ids are kept; repeated rows are counted each for itself; a very long text is
+encoded whole, in one task; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

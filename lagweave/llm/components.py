@@ -2,7 +2,10 @@
 
 Edges stay distributed; each step is one minimum per node and one join.  Minima are written
 before the join, so that both sides of it have an exchange that AQE can split when a node
-with very many edges appears; large-star also moves edges away from such nodes."""
+with very many edges appears; large-star also moves edges away from such nodes.
+
+Defined cases: edges from a node to itself, repeated edges and edges in either direction are
+allowed; ends must not be null; no edges give an empty result."""
 
 from __future__ import annotations
 

@@ -16,12 +16,14 @@ gives a spanning forest of its links, never all pairs; components are then found
 
 Defined cases: null and blank texts have fingerprint 0 and are linked like any other; null
 ids keep their row, with the least id of the component that is not null; repeated rows share
-a fingerprint; an empty table gives an empty result; further columns are ignored.
+a fingerprint; a very long text is read whole; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,6 +40,7 @@ RADIUS = 4
 SEED = 42
 TILE = 4096
 BUCKET = 1024  # mean number of distinct fingerprints a key may have before g grows
+ROOM = 64 << 20  # bytes of shingle sets that a task holds in memory
 STEP = 8  # planes between two looks at which words can be dropped
 
 
@@ -284,8 +287,9 @@ def proven_edges(radius: int | None, outer: int, similarity: float):
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 if forest.label[x] == forest.label[y]:
                     continue
-                both = len(sets[x]) + len(sets[y])
-                same = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                left, right = sets[x].load(), sets[y].load()
+                both = len(left) + len(right)
+                same = len(np.intersect1d(left, right, assume_unique=True))
                 if same / max(both - same, 1) >= similarity:
                     low, high = sorted((forest.label[x], forest.label[y]))
                     begin, end = np.searchsorted(group, [group[x], group[x] + 1])
@@ -297,10 +301,31 @@ def proven_edges(radius: int | None, outer: int, similarity: float):
     return lambda batches: _runs(batches, flush)
 
 
+class Held:
+    """An array in memory, or in the task's spool file."""
+
+    __slots__ = ("array", "file", "at", "n")
+
+    def __init__(self, array: np.ndarray, file=None):
+        self.array, self.file, self.n = array, file, len(array)
+        if file is not None:
+            self.at = file.seek(0, 2)
+            file.write(array.tobytes())
+            self.array = None
+
+    def load(self) -> np.ndarray:
+        if self.array is not None:
+            return self.array
+        self.file.seek(self.at)
+        return np.frombuffer(self.file.read(8 * self.n), np.int64)
+
+
 def _runs(batches: Iterator[pa.RecordBatch], flush) -> Iterator[pa.RecordBatch]:
-    """Whole runs of equal (bucket, tile, tile) for ``flush``: about 16,384 rows or 16 MB."""
+    """Whole runs of equal (bucket, tile, tile) for ``flush``: about 16,384 rows or 16 MB.  A
+    run may be larger; its sets beyond ``ROOM`` bytes then wait in a file of the task."""
     held: list[tuple] = []
-    size = 0
+    size = in_memory = 0
+    spool = tempfile.TemporaryFile()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -310,7 +335,8 @@ def _runs(batches: Iterator[pa.RecordBatch], flush) -> Iterator[pa.RecordBatch]:
         sets = np.empty(len(nodes), object)
         if batch.num_columns > 5:
             for k, x in enumerate(batch.column(5)):
-                sets[k] = np.array(x.values)
+                sets[k] = Held(np.array(x.values), spool if in_memory > ROOM else None)
+                in_memory += 8 * sets[k].n if sets[k].array is not None else 0
         held.append((keys, nodes, fps, sets))
         size += max(batch.nbytes, batch.num_rows << 10)
         if size < 1 << 24:
@@ -321,6 +347,9 @@ def _runs(batches: Iterator[pa.RecordBatch], flush) -> Iterator[pa.RecordBatch]:
         if stop:
             yield from flush(keys[:stop], nodes[:stop], fps[:stop], sets[:stop])
         held, size = [(keys[stop:], nodes[stop:], fps[stop:], sets[stop:])], 0
+        in_memory = sum(8 * x.n for x in sets[stop:] if x is not None and x.array is not None)
+        if stop == len(keys):
+            spool.truncate(0)
     if held:
         yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 

@@ -30,6 +30,7 @@ from .shared import cut, release, word_count
 CAP = 3
 SUB = 64  # least number of parts of a (source, size) cell, so that a cell with a third of all rows is spread
 PART_ROWS = 1_000_000  # rows for which there is one part more
+CELLS = 250_000  # (source, size) cells that may be broadcast: about 16 MB
 MAX_STEPS = 80
 STEPS_A_WRITE = 4
 TOLERANCE = 1e-9
@@ -112,14 +113,25 @@ def _nudged(cells: DataFrame, cap: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", cap: int = CAP) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, copies, rate.
+    """One row per document: doc_id, source, size, source_size, target, taken, copies, rate."""
+    return _mixed(docs, id_col, text_col, source_col, cap)[0].drop("skey", "sub")
+
+
+def _order(parts: int) -> list:
+    """The order in which the documents of a cell take its odd copies: columns sub, h, doc_id."""
+    return [F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("sub"), F.xxhash64("doc_id", "size").alias("h"), F.col("doc_id")]
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, cap: int) -> tuple[DataFrame, int]:
+    """The rows of ``mix`` with skey and sub, and the number of parts of a cell.
 
     Texts are read once; everything else works on (id, source, size) rows and on cells.
     Within a cell all documents have one rate; the cell's copies go to its documents evenly,
     the odd ones by hash of the id.  Cells are split into parts by that hash for the ranking;
     the number of parts grows with the table."""
     slim = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _key(F.col(source_col)).alias("skey"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
-    slim = slim.withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.lit(SUB + slim.count() // PART_ROWS)).cast("int"))
+    n_parts = SUB + slim.count() // PART_ROWS
+    slim = slim.withColumn("sub", _order(n_parts)[0])
     parts = cut(slim.groupBy("skey", "size", "sub").agg(F.count("*").alias("n")), "mix-parts")
     cells = parts.groupBy("skey", "size").agg(F.sum("n").alias("n"))
     totals = cells.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("total"), F.sum("n").alias("docs"))
@@ -141,25 +153,38 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
                         F.greatest(F.lit(0), F.least(odd - F.col("before"), F.col("n"))).alias("extra"))
     place = F.row_number().over(Window.partitionBy("skey", "size", "sub").orderBy(F.xxhash64("doc_id", "size"), "doc_id"))
     copies = (F.col("base") + (place <= F.col("extra")).cast("long")).alias("copies")
-    out = slim.join(plan, ["skey", "size", "sub"]).select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", "rate", copies)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+    out = slim.join(plan, ["skey", "size", "sub"]).select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", "rate", copies, "skey", "sub")
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "skey", "sub"), n_parts
 
 
 def take_copies(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", cap: int = CAP) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns.
 
-    Documents of one id, source and size share what is taken of them: each as often as the
-    least taken, and the odd copies go to the first by a hash of the row."""
-    plan = mix(docs, id_col, text_col, source_col, cap).groupBy("doc_id", _key(F.col("source")).alias("skey"), "size").agg(
-        F.min("copies").cast("int").alias("least"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("odd")).filter("least > 0 or odd > 0")
-    plan = cut(plan.select(F.col("doc_id").alias("i"), "skey", F.col("size").alias("z"), "least", "odd"), "mix-plan")
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"), _key(F.col(source_col)).alias("s"), word_count(F.col(text_col)).alias("size"))
-
-    def met(side: DataFrame) -> DataFrame:
-        return whole.join(side, whole["doc_id"].eqNullSafe(side["i"]) & (whole["s"] == side["skey"]) & (whole["size"] == side["z"]))
-
-    taken = met(plan.filter("odd = 0") if (uneven := plan.filter("odd > 0").limit(1).count()) else plan).select("row", F.col("least").alias("copies"))
-    if uneven:  # only rows that repeat an id can be
-        place = F.row_number().over(Window.partitionBy("i", "skey", "z").orderBy(F.xxhash64("row")))
-        taken = taken.unionByName(met(plan.filter("odd > 0")).select("row", (F.col("least") + (place <= F.col("odd")).cast("int")).alias("copies")).filter("copies > 0"))
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("no")).select("row.*")
+    All documents of a (source, size) cell are taken equally often, but for the odd copies, which
+    go to the first in ``_order``.  So a cell is told by a count and by the last document that
+    takes an odd copy, and texts stay where they are: the cells are broadcast if there are at
+    most ``CELLS``, and joined by their measured size beyond that.  Where rows that share an id
+    take one odd copy only in part, the first by a hash of the row do."""
+    plan, n_parts = _mixed(docs, id_col, text_col, source_col, cap)
+    place = F.struct(*_order(n_parts))
+    kept = cut(plan.select("skey", "size", "copies", place.alias("place")), "mix-plan")
+    both = F.struct("copies", "place")
+    cells = cut(kept.groupBy("skey", "size").agg(F.min(both).alias("low"), F.max(both).alias("high")).filter("high.copies > 0").select(
+        F.col("skey").alias("k"), F.col("size").alias("z"), F.col("low.copies").cast("int").alias("least"), F.when(F.col("high.copies") > F.col("low.copies"), F.col("high.place")).alias("last"),
+        ((F.col("high.copies") > F.col("low.copies")) & (F.col("high.place") == F.col("low.place"))).alias("tied")), "mix-cells")
+    near = F.broadcast(cells) if cells.count() <= CELLS else cells
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"), _key(F.col(source_col)).alias("skey"), word_count(F.col(text_col)).alias("size"))
+    met = whole.withColumn("place", place).join(near, (F.col("skey") == F.col("k")) & (F.col("size") == F.col("z")))
+    copies = F.col("least") + F.coalesce(F.col("place") <= F.col("last"), F.lit(False)).cast("int")
+    if not cells.filter("tied").limit(1).count():
+        return _repeated(met.select("row", copies.alias("copies")))
+    at_tie = F.coalesce(F.col("tied") & (F.col("place") == F.col("last")), F.lit(False))
+    odd = kept.join(cells.filter("tied").select("k", "z", "least", "last"), (F.col("skey") == F.col("k")) & (F.col("size") == F.col("z")) & (F.col("place") == F.col("last"))).groupBy("k", "z").agg(
+        F.sum(F.col("copies") - F.col("least")).alias("odd"))
+    turn = F.row_number().over(Window.partitionBy("skey", "size").orderBy(F.xxhash64("row")))
+    some = met.filter(at_tie).select("row", "skey", "size", "least").join(odd, (F.col("skey") == F.col("k")) & (F.col("size") == F.col("z"))).select("row", (F.col("least") + (turn <= F.col("odd")).cast("int")).alias("copies"))
+    return _repeated(met.filter(~at_tie).select("row", copies.alias("copies")).unionByName(some))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    return rows.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("no")).select("row.*")

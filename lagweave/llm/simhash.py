@@ -248,7 +248,7 @@ def _edges(radius: int, outer: int | None):
     ``outer`` each edge is a pair within ``radius``, and the nodes of pairs that ``outer`` holds
     and links leave apart come as (bucket, a, b, u, null).  Without ``fp`` a node is its own
     fingerprint."""
-    def flush(keys, nodes, fps, _):
+    def flush(keys, nodes, fps, *_):
         group = _numbers(keys)
         met = np.bincount(group)[group] > 1
         keys, nodes, fps = keys[met], nodes[met], fps[met]
@@ -275,14 +275,17 @@ def _batch(*columns) -> pa.RecordBatch:
 
 
 def proven_edges(radius: int | None, outer: int, similarity: float):
-    """Rows (bucket, tile, tile, node, fp, hashes) to edges (u, v): pairs between the radii are
-    compared by their sets of hashes, unless links of the run join them already.  Without
-    ``radius`` all pairs within ``outer`` are."""
-    def flush(keys, nodes, fps, sets):
+    """Rows (bucket, tile, tile, node, fp, hashes, root) to edges (u, v): pairs between the radii
+    are compared by their sets of hashes, unless links of the run or a common root join them
+    already.  Without ``radius`` all pairs within ``outer`` are."""
+    def flush(keys, nodes, fps, sets, roots):
         group = _numbers(keys)
         forest = Forest(len(nodes))
         if radius is not None:
             forest.label = sliced_links(fps, group, radius)
+        order = np.lexsort((roots, group))
+        same = (group[order][1:] == group[order][:-1]) & (roots[order][1:] == roots[order][:-1])
+        forest.join(order[1:][same], order[:-1][same])
         for i, j in pairs_between(fps, group, forest.label.copy(), outer):
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 if forest.label[x] == forest.label[y]:
@@ -337,16 +340,17 @@ def _runs(batches: Iterator[pa.RecordBatch], flush) -> Iterator[pa.RecordBatch]:
             for k, x in enumerate(batch.column(5)):
                 sets[k] = Held(np.array(x.values), spool if in_memory > ROOM else None)
                 in_memory += 8 * sets[k].n if sets[k].array is not None else 0
-        held.append((keys, nodes, fps, sets))
+        roots = np.asarray(batch.column(6)) if batch.num_columns > 6 else nodes
+        held.append((keys, nodes, fps, sets, roots))
         size += max(batch.nbytes, batch.num_rows << 10)
         if size < 1 << 24:
             continue
-        keys, nodes, fps, sets = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, nodes, fps, sets, roots = (np.concatenate(x) for x in zip(*held, strict=True))
         ends = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
         stop = int(ends[-1]) if len(ends) else 0  # the last group may go on in the next batch
         if stop:
-            yield from flush(keys[:stop], nodes[:stop], fps[:stop], sets[:stop])
-        held, size = [(keys[stop:], nodes[stop:], fps[stop:], sets[stop:])], 0
+            yield from flush(keys[:stop], nodes[:stop], fps[:stop], sets[:stop], roots[:stop])
+        held, size = [(keys[stop:], nodes[stop:], fps[stop:], sets[stop:], roots[stop:])], 0
         in_memory = sum(8 * x.n for x in sets[stop:] if x is not None and x.array is not None)
         if stop == len(keys):
             spool.truncate(0)
@@ -358,13 +362,14 @@ def _numbers(keys: np.ndarray) -> np.ndarray:
     return np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(1).astype(np.int64)])
 
 
-def bucket_edges(keyed: DataFrame, radius: int, outer: int | None = None) -> DataFrame:
+def bucket_edges(keyed: DataFrame, radius: int, outer: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(bucket, node[, fp]) rows to edges (u, v) that span the links of each bucket; see ``_edges``.
+    ``sizes`` (bucket, n), if known, has the rows of each bucket.
 
     A large bucket is dealt to its pairs of tiles; others have one tile."""
     rest = [c for c in keyed.columns if c not in ("bucket", "node")]
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > TILE)
-    large = cut(sizes.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "simhash-large")
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")) if sizes is None else sizes
+    large = cut(sizes.filter(F.col("n") > TILE).select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "simhash-large")
     tiled = keyed.join(large, "bucket", "left").withColumn("tile", F.pmod(F.xxhash64("node", "bucket"), F.coalesce("tiles", F.lit(1))).cast("int"))
     others = F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)
     dealt = tiled.select("bucket", "node", *rest, "tile", F.explode(others).alias("other")).select(

@@ -104,9 +104,12 @@ def similar_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: i
     picked = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     slim = cut(picked.mapInArrow(run, "doc_id long, digest binary, fp binary, bands array<long>"), "similar")
     nodes = cut(slim.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("fp", "doc_id").alias("fp"), F.min_by("bands", "doc_id").alias("bands")), "similar-nodes")
-    keyed = nodes.select("node", "fp", F.posexplode("bands")).select("node", "fp", F.xxhash64("pos", "col").alias("bucket"))
+    # buckets of a single node, nearly all, are left out before any fingerprint moves
+    thin = nodes.select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("bucket"))
+    sizes = cut(thin.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "similar-buckets")
+    met = cut(thin.join(sizes.select("bucket"), "bucket"), "similar-met")
     inner, outer = radii(similarity)
-    found = cut(bucket_edges(keyed, inner, outer), "similar-edges")
+    found = cut(bucket_edges(met.join(nodes.select("node", "fp"), "node").select("node", "fp", "bucket"), inner, outer, sizes), "similar-edges")
     edges = found.filter("v is not null").select("bucket", "a", "b", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     pairs = cut(edges.select("u", "v").distinct(), "similar-pairs")
     sets = cut(_sets(picked, found.select(F.explode(F.array("u", "v")).alias("node")).filter("node is not null"), shingle), "similar-sets")
@@ -116,14 +119,20 @@ def similar_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: i
     again = found.join(bad, ["bucket", "a", "b"], "left_semi").select("bucket", "a", "b", F.explode(F.array("u", "v")).alias("node")).filter("node is not null").distinct()
     unsure = found.filter("v is null").join(bad, ["bucket", "a", "b"], "left_anti").select("bucket", "a", "b", F.col("u").alias("node"))
 
+    # nodes that proven links join already need no comparison: a tile goes on only if it meets two groups
+    links = checked.filter("same").select("u", "v")
+    known = cut(components(links).select(F.col("node").alias("at"), "root"), "similar-known")
+
     def proven(rows: DataFrame, radius: int | None) -> DataFrame:
-        full = rows.join(nodes.select("node", "fp"), "node").join(sets, "node").select("bucket", "a", "b", "node", "fp", "hashes")
+        rooted = cut(rows.join(known, rows["node"] == known["at"], "left").select(*rows.columns, F.coalesce("root", "node").alias("root")), "similar-rooted")
+        mixed = cut(rooted.groupBy("bucket", "a", "b").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket", "a", "b"), "similar-mixed")
+        left = rooted.join(mixed, ["bucket", "a", "b"], "left_semi")
+        full = left.join(nodes.select("node", "fp"), "node").join(sets, "node").select("bucket", "a", "b", "node", "fp", "hashes", "root")
         parts = shuffle_count(docs.sparkSession)
         return full.repartition(parts, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "node").mapInArrow(
             proven_edges(radius, outer, similarity), "u long, v long")
 
-    links = checked.filter("same").select("u", "v").unionByName(proven(cut(unsure, "similar-open"), inner)).unionByName(proven(cut(again, "similar-again"), None))
-    roots = components(links)
+    roots = components(links.unionByName(proven(unsure, inner)).unionByName(proven(again, None)))
     # written: the join after it meets digests with very many rows, which AQE splits only between plain exchanges
     named = cut(nodes.join(roots.withColumnRenamed("node", "__at"), F.col("node") == F.col("__at"), "left").select(
         "digest", F.coalesce("root", "node").alias("component_id")), "similar-named")

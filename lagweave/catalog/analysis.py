@@ -65,7 +65,7 @@ def strategy_medians(spark, sf_dir):
 
 
 def pareto_sweep_2d(spark, sf_dir):
-    return selection.sweep_front(run_table(spark, sf_dir).filter("generation = 3"), "seconds", "s2")
+    return selection.sweep_front(run_table(spark, sf_dir), "seconds", "s2")
 
 
 def mann_whitney_u(spark, sf_dir):
@@ -133,7 +133,7 @@ ORACLES = {
     "presence_counts": " UNION ALL ".join(f"SELECT '{k}' AS name, count(*) AS n FROM part WHERE contains(p_name, '{p}') HAVING count(*) > 0" for k, p in PATTERNS.items()),
     "diagnostics_aggregates": f"WITH {RUN_SQL} SELECT max(generation) AS generations, sum(seconds) AS seconds, (SELECT count(*) FROM (SELECT strategy FROM run UNION SELECT status FROM run)) AS dependencies FROM run",
     "strategy_medians": f"WITH {RUN_SQL} SELECT strategy, count(*) AS n, median(seconds) AS median_seconds, round(median(s2), 8) AS median_score FROM run GROUP BY strategy",
-    "pareto_sweep_2d": f"WITH {RUN_SQL}, b AS (SELECT seconds, max(s2) AS s2 FROM run WHERE generation = 3 GROUP BY seconds) SELECT seconds, s2 FROM b x WHERE NOT EXISTS (SELECT 1 FROM b y WHERE y.seconds < x.seconds AND y.s2 >= x.s2)",
+    "pareto_sweep_2d": f"WITH {RUN_SQL}, b AS (SELECT seconds, max(s2) AS s2 FROM run GROUP BY seconds) SELECT seconds, s2 FROM b x WHERE NOT EXISTS (SELECT 1 FROM b y WHERE y.seconds < x.seconds AND y.s2 >= x.s2)",
     "mann_whitney_u": f"""WITH {RUN_SQL}, t AS (SELECT strategy, rank() OVER (ORDER BY s2) + (count(*) OVER (PARTITION BY s2) - 1) / 2.0 AS r FROM run WHERE strategy IN ('1-URGENT', '5-LOW')),
       s AS (SELECT sum(r) FILTER (WHERE strategy = '1-URGENT')::DOUBLE AS r, count(*) FILTER (WHERE strategy = '1-URGENT') AS n1, count(*) FILTER (WHERE strategy = '5-LOW') AS n2 FROM t)
       SELECT r - n1 * (n1 + 1) / 2 AS u, round(2 * (r - n1 * (n1 + 1) / 2) / (n1 * n2) - 1, 8) AS effect, n1, n2 FROM s""",

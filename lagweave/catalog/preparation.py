@@ -119,11 +119,9 @@ def multi_code_merchants(spark, sf_dir):
 
 
 def sort_violation_first(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_custkey > 3 and o_orderkey < 40").select("o_orderkey", F.col("o_custkey").alias("merchant_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"))
-    from pyspark.sql import Window
-
-    numbered = o.withColumn("position", F.row_number().over(Window.orderBy("o_orderkey")))
-    return validation.first_sort_violation(numbered, "position")
+    """Of the whole table as stored, which is by order key."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("merchant_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"))
+    return validation.first_sort_violation(validation.stored_positions(o), "position")
 
 
 def row_count_check(spark, sf_dir):
@@ -141,7 +139,7 @@ ORACLES = {
       coalesce(document_type, '0') AS document_type, amount::DOUBLE AS amount, l_orderkey, l_linenumber FROM raw LEFT JOIN cards ON card_token_id = cards.id LEFT JOIN merchants ON merchant_id = merchants.id""",
     "resolve_mcc_coalesce": f"""WITH {LINE_SQL}, {SUPP_SQL} SELECT coalesce(CASE WHEN l_orderkey % 4 = 0 THEN 'own' END, m.merchant_category_code, '0') AS merchant_category_code, count(*) AS n
       FROM raw LEFT JOIN merchants m ON merchant_id = m.id GROUP BY 1""",
-    "sort_dataset": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events ORDER BY ts LIMIT 500",
+    "sort_dataset": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events",
     "fit_label_mapping": f"WITH {MAP_SQL} SELECT family, category, code FROM map",
     "encode_labels": f"""WITH {MAP_SQL} SELECT o_orderkey, CAST(coalesce(a.code, (SELECT count(*) FROM map WHERE family = 'status')) AS INTEGER) AS status,
       CAST(coalesce(b.code, (SELECT count(*) FROM map WHERE family = 'payment_method')) AS INTEGER) AS payment_method
@@ -158,7 +156,7 @@ ORACLES = {
       sum(n)::BIGINT AS mismatch_transaction_count, sum(CASE WHEN code IS NULL THEN n ELSE 0 END)::BIGINT AS null_transaction_count FROM x GROUP BY merchant_id, mcode""",
     "multi_code_merchants": """SELECT o_custkey AS merchant_id, count(DISTINCT o_orderpriority) AS merchant_code_count, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS merchant_codes
       FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1""",
-    "sort_violation_first": """WITH p AS (SELECT row_number() OVER (ORDER BY o_orderkey)::BIGINT AS position, o_custkey AS m, strftime(o_orderdate, '%Y-%m-%d') AS t FROM orders WHERE o_custkey > 3 AND o_orderkey < 40),
+    "sort_violation_first": """WITH p AS (SELECT row_number() OVER (ORDER BY o_orderkey)::BIGINT AS position, o_custkey AS m, strftime(o_orderdate, '%Y-%m-%d') AS t FROM orders),
       l AS (SELECT *, lag(m) OVER (ORDER BY position) AS pm, lag(t) OVER (ORDER BY position) AS pt FROM p)
       SELECT position, pm AS previous_merchant, m AS merchant, pt AS previous_created, t AS created FROM l WHERE m < pm OR (m = pm AND t < pt) ORDER BY position LIMIT 1""",
     "row_count_check": "SELECT count(*) AS rows, count(*) AS projected_rows FROM lineitem",

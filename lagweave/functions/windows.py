@@ -19,6 +19,27 @@ KINDS = ("mean", "max", "total_amount", "std", "count_total", "count_category",
 ALIASES = {"sum": "total_amount"}
 
 
+# What a window's span may be, by type; and the units of a time label, largest first.
+WHOLE_HISTORY = -1
+TIME_UNITS = {"d": DAY, "h": HOUR, "m": HOUR // 60}
+
+
+def is_span(window_type: str, window: int) -> bool:
+    """Whether ``window`` counts rows, days or microseconds, or stands for the whole history."""
+    if window_type not in ("row", "time", "days") or type(window) is not int:
+        return False
+    return window > 0 or (window_type, window) == ("time", WHOLE_HISTORY)
+
+
+def window_label(window_type: str, window: int) -> str:
+    """How a window is spelled in a feature's name: numbers of rows and days as they are; a time
+    in the largest unit that measures it in whole numbers, or in microseconds."""
+    spelled = {"total": None}
+    if window_type == "time":
+        spelled = {f"{window // size}{unit}": window % size for unit, size in TIME_UNITS.items()} if window != WHOLE_HISTORY else {"total": 0}
+    return next((label for label, rest in spelled.items() if rest == 0), str(window))
+
+
 @dataclass(frozen=True)
 class Primitive:
     """A point-in-time aggregate: kind, amount column, window, and a category if it has one."""
@@ -31,26 +52,43 @@ class Primitive:
     input_col: str = "amount"
 
     def __post_init__(self):
-        if self.window_type not in ("row", "time", "days"):
-            raise ValueError(f"unknown window type {self.window_type!r}")
-        if isinstance(self.window, bool) or not isinstance(self.window, int):
-            raise ValueError("a window is a whole number")
-        if self.window <= 0 and not (self.window_type == "time" and self.window == -1):
-            raise ValueError(f"{self.window_type} windows must be above 0, got {self.window}")
+        if not is_span(self.window_type, self.window):
+            raise ValueError(f"no window: {self.window_type} {self.window!r}")
 
     @property
     def name(self) -> str:
-        category = "" if self.category_family is None else f"_{self.category_family}_{self.category_code}"
-        return f"feat_{self.kind}{category}_{self.input_col}_{self.window_type}_{window_label(self.window_type, self.window)}"
+        category = [] if self.category_family is None else [self.category_family, str(self.category_code)]
+        return "_".join(["feat", self.kind, *category, self.input_col, self.window_type, window_label(self.window_type, self.window)])
 
 
-def window_label(window_type: str, window: int) -> str:
-    """Times in the largest unit that divides them."""
-    if window_type != "time":
-        return str(window)
-    if window == -1:
-        return "total"
-    for size, unit in ((DAY, "d"), (HOUR, "h"), (HOUR // 60, "m")):
-        if window % size == 0:
-            return f"{window // size}{unit}"
-    return str(window)
+@dataclass(frozen=True)
+class Trailing:
+    """A trailing window of a row: ``rows`` of them, ``micros`` of time, or all before it."""
+
+    rows: int | None = None
+    micros: int | None = None
+
+    def __post_init__(self):
+        given = [x for x in (self.rows, self.micros) if x is not None]
+        if len(given) > 1 or any(type(x) is not int or x <= 0 for x in given):
+            raise ValueError("a trailing window has a positive number of rows or of microseconds, or neither")
+
+    @property
+    def mode(self) -> str:
+        return "rows" if self.rows is not None else "time" if self.micros is not None else "total"
+
+    @property
+    def span(self) -> int:
+        return self.rows or self.micros or 0
+
+    @property
+    def name(self) -> str:
+        if self.mode == "rows":
+            return f"last_{self.rows}_rows"
+        if self.mode == "total":
+            return "all_history"
+        label = window_label("time", self.micros)
+        return f"last_{label}" if label[-1] in "dh" else f"last_{self.micros}us"
+
+
+TRAILING = (*(Trailing(rows=n) for n in ROW_WINDOWS), *(Trailing(micros=h * HOUR) for h in HOUR_WINDOWS), Trailing())

@@ -3,9 +3,10 @@
 Transactions and events are put into one frame and every aggregate is a window frame over
 it, so one exchange, by merchant, serves all windows, and no event is joined with its
 history.  Right edges are strict (t < event time).  Sums and counts over a bounded window are
-differences of two growing frames, which cost a constant per row; sums are exact because
-amounts are decimals.  Maxima use the bounded frame.  A merchant's rows meet in one task,
-as they must for the windows; sort and buffers of a window spill.
+differences of two growing frames, which cost a constant per row.  Amounts keep their type:
+sums of decimals (up to 18 digits) and whole numbers are exact; other numbers are added as
+doubles, in the order of a merchant's history.  Maxima use the bounded frame.  A merchant's
+rows meet in one task, as they must for the windows; sort and buffers of a window spill.
 """
 
 from __future__ import annotations
@@ -14,24 +15,42 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.windows import ALIASES, DAY, KINDS, Primitive
 
-MONEY = "decimal(18,2)"
-
-
-def union_frame(tx: DataFrame, events: DataFrame, families: Iterable[str] = ()) -> DataFrame:
-    """``tx``: m, t, id, amount and family columns; ``events``: m, t, id.  Event rows carry no
-    amount and no category; ``pos`` is a transaction's rank, or the number before an event."""
-    families = list(families)
-    left = tx.select("m", "t", "id", F.lit(1).alias("is_tx"), F.coalesce(F.col("amount").cast(MONEY), F.lit(0).cast(MONEY)).alias("amount"), *families)
-    kinds = dict(tx.dtypes)
-    right = events.select("m", "t", "id", F.lit(0).alias("is_tx"), F.lit(None).cast(MONEY).alias("amount"), *(F.lit(None).cast(kinds[f]).alias(f) for f in families))
+def _amount_type(kind: T.DataType) -> str:
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        return kind.simpleString()
+    return "decimal(10,0)" if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)) else "double"
+
+
+def _family_column(tx: DataFrame, family: str) -> Column:
+    """A family's codes, under its name or that with ``_code``."""
+    for name in (family, f"{family}_code"):
+        if name in tx.columns:
+            return F.col(f"`{name}`").alias(family)
+    raise ValueError(f"no category column for family {family!r}")
+
+
+def union_frame(tx: DataFrame, events: DataFrame, families: Iterable[str] = (), keep: Iterable[str] = ()) -> DataFrame:
+    """``tx``: m, t, id, amount and family columns; ``events``: m, t, id and the ``keep`` columns.
+    Without a column t rows come in the order of their ids.  Event rows carry no amount and no
+    category; ``pos`` is a transaction's rank, or the number before an event; ``kept`` has the
+    ``keep`` columns."""
+    tx, events = (df if "t" in df.columns else df.withColumn("t", F.col("id")) for df in (tx, events))
+    families, money = list(families), _amount_type(tx.schema["amount"].dataType)
+    right = events.select("m", "t", "id", F.lit(0).alias("is_tx"), F.lit(None).cast(money).alias("amount"), F.struct(F.lit(0).alias("_"), *keep).alias("kept"))
+    left = tx.select("m", "t", "id", F.lit(1).alias("is_tx"), F.coalesce(F.col("amount").cast(money), F.lit(0).cast(money)).alias("amount"),
+                     F.lit(None).cast(right.schema["kept"].dataType).alias("kept"), *(_family_column(tx, f) for f in families))
+    right = right.select("*", *(F.lit(None).cast(left.schema[f].dataType).alias(f) for f in families))
     order = Window.partitionBy("m").orderBy("t", "is_tx", "id").rowsBetween(Window.unboundedPreceding, 0)
     return left.unionByName(right).withColumn("day", F.floor(F.col("t") / F.lit(DAY)).cast("long")).withColumn("pos", F.sum("is_tx").over(order))
 
 
 def _category(p: Primitive) -> Column:
+    if p.category_family is None:  # without a family every transaction is of category 0
+        return F.lit(not p.category_code)
     return F.col(p.category_family) == F.lit(p.category_code if p.category_code is not None else 0)
 
 
@@ -39,7 +58,7 @@ def _measure(p: Primitive, what: str) -> Column:
     if what == "n":
         return F.col("is_tx")
     if what == "cat":
-        return F.when(_category(p), 1).otherwise(0)
+        return F.when(_category(p) & (F.col("is_tx") == 1), 1).otherwise(0)
     if what == "cat_sum":
         return F.when(_category(p), F.col("amount"))
     return {"sum": F.col("amount"), "squares": F.col("amount") * F.col("amount"), "max": F.col("amount")}[what]
@@ -89,10 +108,11 @@ def event_features(tx: DataFrame, events: DataFrame, primitives: Iterable[Primit
     Equal primitives are computed once."""
     wanted = {p.name: p for p in primitives}
     families = sorted({p.category_family for p in wanted.values() if p.category_family})
-    frame = union_frame(tx, events, families)
-    out = frame.select("id", "m", "t", "is_tx", *(value_column(p).alias(name) for name, p in wanted.items())).filter("is_tx = 0").drop("is_tx")
     keep = list(keep)
-    return out.drop("m", "t") if not keep else out.drop("m", "t").join(events.select("id", *keep), "id")
+    frame = union_frame(tx, events, families, keep)
+    # kept columns travel with their event, so nothing is joined back
+    out = frame.select("id", "is_tx", "kept", *(value_column(p).alias(name) for name, p in wanted.items())).filter("is_tx = 0")
+    return out.select("id", *(F.col(f"kept.`{c}`").alias(c) for c in keep), *(F.col(f"`{name}`") for name in wanted))
 
 
 def transaction_features(tx: DataFrame, primitives: Iterable[Primitive]) -> DataFrame:

@@ -8,10 +8,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import Trailing
+
 AGGREGATES = ("count", "sum", "mean", "max")
 MODES = ("rows", "time", "total")
 
 
+def aggregate(df: DataFrame, partition: str, order: str, tiebreak: str, value: str | None, aggregation: str, window: Trailing) -> Column:
+    """``sliding_window`` over a window object."""
+    if not isinstance(window, Trailing):
+        raise TypeError(f"not a trailing window: {type(window).__name__}")
+    return sliding_window(df, partition, order, tiebreak, value, aggregation, window.mode, window.span)
+
+
 def sliding_window(df: DataFrame, partition: str, order: str, tiebreak: str, value: str | None, aggregation: str = "count", mode: str = "rows", span: int = 0) -> Column:
     """A column of ``df``; ``order`` is a whole number, empty windows give null except for counts."""
     if aggregation not in AGGREGATES:

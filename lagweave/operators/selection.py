@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, safe_corr
+from .prefix import running_max
+
+BLOCK = 10_000  # vectors that may be broadcast
+ROUNDS = 3
 
 
 def dominates(a: list[Column], b: list[Column], maximize: list[bool]) -> Column:
@@ -17,12 +21,40 @@ def dominates(a: list[Column], b: list[Column], maximize: list[bool]) -> Column:
     return no_worse & better
 
 
-def pareto_front(df: DataFrame, objectives: list[str], maximize: list[bool]) -> DataFrame:
-    """Rows with finite objectives that no row dominates; an anti join on the condition, for
-    tables of candidates, which a generation keeps small."""
+def pareto_front(df: DataFrame, objectives: list[str], maximize: list[bool], block: int = BLOCK) -> DataFrame:
+    """Rows with finite objectives that no row dominates.
+
+    Distinct vectors are first reduced by fronts within random groups of about ``block``: what a
+    group's front dominates, the whole front does.  The vectors left, few unless the front
+    itself is large, are compared with each other: broadcast if they are at most ``block``,
+    else cut into groups of that size, each pair of groups in a task."""
     ok = df.filter(reduce(lambda x, y: x & y, (finite(F.col(c)) for c in objectives)))
-    rivals = ok.select(*(F.col(c).alias(f"__{c}") for c in objectives)).distinct()
-    return ok.join(rivals, dominates([F.col(f"__{c}") for c in objectives], [F.col(c) for c in objectives], maximize), "left_anti")
+    names = [f"__{c}" for c in objectives]
+    beats = lambda side: dominates([F.col(f"_{side}{c}") for c in objectives], [F.col(c) for c in names], maximize)
+    renamed = lambda frame, *more: frame.select(*more, *(F.col(n).alias(f"_r{c}") for n, c in zip(names, objectives, strict=True)))
+    left = ok.select(*(F.col(c).alias(n) for c, n in zip(objectives, names, strict=True))).distinct().persist()
+    held, n, salt = [left], left.count(), 0
+    while n > block and salt < ROUNDS:
+        salt += 1
+        grouped = left.withColumn(" group", F.pmod(F.xxhash64(F.lit(salt), *names), F.lit(-(-n // block))))
+        other = renamed(grouped, F.col("` group`").alias(" of"))
+        left = grouped.join(other, (F.col("` group`") == F.col("` of`")) & beats("r"), "left_anti").select(*names).persist()
+        held.append(left)
+        n, before = left.count(), n
+        if n > 0.9 * before:  # nearly all of it is front
+            break
+    if n <= block:
+        front = left.join(F.broadcast(renamed(left)), beats("r"), "left_anti")
+    else:
+        parts = -(-n // block)
+        every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+        own = left.withColumn(" group", F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int"))
+        asked, asking = own.withColumn(" against", every), renamed(own.withColumn(" with", every), F.col("` with`").alias(" of"), F.col("` group`").alias(" to"))
+        beaten = asked.join(asking, (F.col("` group`") == F.col("` of`")) & (F.col("` against`") == F.col("` to`")) & beats("r"), "left_semi").select(*(F.col(c).alias(f"{c}b") for c in names)).distinct()
+        front = left.join(beaten, reduce(lambda x, y: x & y, (F.col(c) == F.col(f"{c}b") for c in names)), "left_anti")
+    for used in held[:-1]:
+        used.unpersist()
+    return ok.join(front, reduce(lambda x, y: x & y, (F.col(c) == F.col(n) for c, n in zip(objectives, names, strict=True))), "left_semi")
 
 
 def quality_filter(df: DataFrame, folds: list[str], least: float = 0.001) -> DataFrame:
@@ -45,9 +77,8 @@ def promotion(df: DataFrame, gains: list[str], seconds: str, tiebreak: str, leas
 def sweep_front(df: DataFrame, x: str, y: str) -> DataFrame:
     """Two-dimensional front: no cheaper row has as much ``y``.  Rows are first reduced to the
     best per cost."""
-    best = df.groupBy(x).agg(F.max(y).alias(y))
-    before = F.max(y).over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
-    return best.withColumn("before", before).filter(F.col("before").isNull() | (F.col(y) > F.col("before"))).drop("before")
+    best = df.filter(F.col(x).isNotNull()).groupBy(x).agg(F.max(y).alias(y))
+    return running_max(best, x, y, "before").filter(F.col("before").isNull() | (F.col(y) > F.col("before"))).drop("before")
 
 
 def correlations(df: DataFrame, candidate: str, references: list[str]) -> DataFrame:

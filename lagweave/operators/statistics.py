@@ -9,9 +9,19 @@ from pyspark.sql import functions as F
 
 from .evaluation import average_ranks
 
-# What the presence table counts in an expression's text.
-PRESENCE = {"mean": "feat_mean", "max": "feat_max", "total_amount": "feat_total_amount", "std": "feat_std", "count": "feat_count", "avg_daily": "feat_avg_daily",
-            "category_rate": "feat_category_rate", "signed_log": "signed_log", "ratio": " / "}
+# The families and operators that the presence table counts, as patterns of an
+# expression's text.
+PRESENCE = {
+    "Amount aggregate": r"feat_(?:mean|max|total|std)_amount",
+    "Count aggregate": r"feat_count_",
+    "Daily aggregate": r"feat_avg_daily_",
+    "Category rate": r"feat_category_rate",
+    "Addition (+)": r"\+",
+    "Subtraction (-)": r" - ",
+    "Multiplication (*)": r"\*",
+    "Safe division (/)": r" / ",
+    "Signed log": r"signed_log\(",
+}
 
 
 def quartiles(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -48,8 +58,8 @@ def progress(df: DataFrame, generation: str, evaluated: str) -> DataFrame:
 
 
 def presence_counts(df: DataFrame, text: str, patterns: dict[str, str] = PRESENCE) -> DataFrame:
-    """(name, n) for patterns found in at least one text; one aggregation."""
-    counts = [F.struct(F.lit(k).alias("name"), F.coalesce(F.sum(F.col(text).contains(p).cast("long")), F.lit(0)).alias("n")) for k, p in patterns.items()]
+    """(name, n) for regular expressions found in at least one text; one aggregation."""
+    counts = [F.struct(F.lit(k).alias("name"), F.coalesce(F.sum(F.col(text).rlike(p).cast("long")), F.lit(0)).alias("n")) for k, p in patterns.items()]
     return df.agg(F.array(*counts).alias("a")).select(F.explode("a").alias("c")).select("c.*").filter("n > 0")
 
 

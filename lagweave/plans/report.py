@@ -84,14 +84,14 @@ def write_report(spark: SparkSession, folder: str | Path, **extra) -> Path:
     """A new version of the report of a saved run; earlier versions stay."""
     folder = Path(folder)
     tables = figure_tables(read_csv(spark, folder / "candidates", CANDIDATES), read_csv(spark, folder / "generations", GENERATIONS), **extra)
-    parts = []
-    for name, df in tables.items():
-        rows = df.limit(500).collect()  # a page shows 500 rows of a table at most
-        head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in rows)
-        parts.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
     number = 1 + len(list(folder.glob("report-*.html")))
     staged, final = folder / f".{uuid.uuid4().hex}.tmp", folder / f"report-{number}.html"
-    staged.write_text(f"<!doctype html><meta charset=utf-8><title>Run</title>{''.join(parts)}", encoding="utf-8")
+    with open(staged, "w", encoding="utf-8") as page:
+        page.write("<!doctype html><meta charset=utf-8><title>Run</title>")
+        for name, df in tables.items():
+            page.write(f"<h2>{html.escape(name)}</h2><table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in df.columns)}</tr>")
+            for r in df.toLocalIterator():  # whole tables, a partition at a time
+                page.write("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + "</tr>")
+            page.write("</table>")
     os.replace(staged, final)
     return final

@@ -9,7 +9,7 @@ from lagweave.catalog import inputs
 from lagweave.operators import evaluation as ev
 from lagweave.operators import selection
 from lagweave.operators import statistics as st
-from lagweave.operators.prefix import running_sums
+from lagweave.operators.prefix import running_max, running_sums
 from lagweave.plans import expressions as ex
 from lagweave.plans.archive import ActiveSet, Archive, Member, front
 from lagweave.plans.scoring import Evaluator, MaterializationError, batch_gains
@@ -113,6 +113,39 @@ def test_pareto_front(spark):
     assert got == set(front(vectors))
 
 
+@pytest.mark.parametrize("block", [7, 60])
+def test_pareto_front_in_blocks(spark, block):
+    rng = random.Random(15)
+    rows = [(i, rng.random(), rng.random(), float(rng.randrange(9))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    got = {r.id for r in selection.pareto_front(df, ["a", "b", "c"], [True, True, False], block).collect()}
+    assert got == set(front([list(r[1:]) for r in rows], (True, True, False)))
+    line = df.withColumn("b", -F.col("a"))  # all of it is front
+    assert selection.pareto_front(line, ["a", "b"], [True, True], block).count() == 300
+
+
+@pytest.mark.parametrize("rows", [10, 1000])
+def test_running_max_and_sweep(spark, rows):
+    rng = random.Random(16)
+    data = [(float(x), rng.random()) for x in rng.sample(range(10**6), 400)]
+    df = spark.createDataFrame(data, "x double, y double")
+    got = {r.x: r.before for r in running_max(df, "x", "y", "before", rows_a_range=rows).collect()}
+    top, kept = None, []
+    for x, y in sorted(data):
+        assert got[x] == top
+        if top is None or y > top:
+            kept.append(x)
+        top = y if top is None else max(top, y)
+    assert sorted(r.x for r in selection.sweep_front(df, "x", "y").collect()) == kept
+
+
+def test_presence_counts(spark):
+    texts = ["(feat_mean_amount_time_1d + feat_max_amount_row_5)", "signed_log((feat_count_total_amount_time_1d - feat_category_rate_status_0_amount_time_1d))", "(feat_avg_daily_count_amount_days_7 / feat_total_amount_amount_row_5)"]
+    df = spark.createDataFrame([(t,) for t in texts], "e string")
+    assert {r.name: r.n for r in st.presence_counts(df, "e").collect()} == {"Amount aggregate": 2, "Count aggregate": 1, "Daily aggregate": 1, "Category rate": 1, "Addition (+)": 1, "Subtraction (-)": 1,
+                                                                         "Safe division (/)": 1, "Signed log": 1}
+
+
 def leaf(i):
     return ex.MeanAmount(i)
 

@@ -12,13 +12,13 @@ from lagweave.sources import tables
 
 
 def test_enrichment(spark):
-    tx = spark.createDataFrame([(20, dt.date(2024, 1, 2), 200, "5812"), (10, dt.date(2024, 1, 2), 100, "5999"), (10, dt.date(2024, 1, 1), None, None), (30, dt.date(2024, 1, 3), 300, None)],
+    tx = spark.createDataFrame([(7, dt.date(2023, 5, 9), 71, "bar"), (4, dt.date(2023, 5, 8), 70, "inn"), (4, dt.date(2023, 5, 3), None, None), (9, dt.date(2023, 5, 1), 79, None)],
                                "merchant_id long, created_at date, card_token_id long, merchant_category_code string")
-    cards = spark.createDataFrame([(100, "visa"), (200, "mastercard")], "id long, card_brand string")
-    merchants = spark.createDataFrame([(10, "cnpj", "5812"), (20, "cpf", "5999")], "id long, document_type string, merchant_category_code string")
+    cards = spark.createDataFrame([(70, "blue"), (71, "green")], "id long, card_brand string")
+    merchants = spark.createDataFrame([(4, "firm", "bar"), (7, "person", "inn")], "id long, document_type string, merchant_category_code string")
     done = preprocess.transaction_layout(preprocess.enrich(tx, cards, merchants), 1)
     assert [tuple(r) for r in done.select("merchant_id", "card_token_id", "card_brand", "document_type", "merchant_category_code").collect()] == [
-        (10, 0, "0", "cnpj", "5812"), (10, 100, "visa", "cnpj", "5999"), (20, 200, "mastercard", "cpf", "5812"), (30, 300, "0", "0", "0")]
+        (4, 0, "0", "firm", "bar"), (4, 70, "blue", "firm", "inn"), (7, 71, "green", "person", "bar"), (9, 79, "0", "0", "0")]
     again = preprocess.enrich(done, cards, merchants)
     assert sorted(again.columns) == sorted(done.columns)
     with pytest.raises(ValueError, match="created_at"):
@@ -61,6 +61,14 @@ def test_sort_violation(spark):
     assert validation.first_sort_violation(same, "position").first().position == 4
 
 
+def test_stored_positions_over_several_files(spark, tmp_path):
+    spark.range(0, 1000, 1, 7).write.parquet(str(tmp_path / "t.parquet"))
+    df = spark.read.parquet(str(tmp_path / "t.parquet"))
+    got = validation.stored_positions(df).collect()
+    assert sorted(r.position for r in got) == list(range(1, 1001))
+    assert [r.id for r in sorted(got, key=lambda r: r.position)] == [r.id for r in df.collect()]
+
+
 def test_storage_form_and_guards(spark, tmp_path):
     df = spark.createDataFrame([(1, "x", dt.datetime(2024, 1, 1, 12), dt.date(1970, 1, 3), None)], "a int, b string, c timestamp_ntz, d date, e decimal(5,2)")
     assert [tuple(r) for r in tables.numeric_projection(df).collect()] == [(1, 1704110400000000, 2, 0.0)]

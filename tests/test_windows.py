@@ -153,3 +153,44 @@ def test_enumeration():
     assert len(trees) == len({ex.key(t) for t in trees}) == sum(ex.tree_count([["a"], [], [], [], []], 2))
     assert [ex.depth(t) for t in trees] == sorted(ex.depth(t) for t in trees)
     assert len(list(ex.terminal_space(CODES))) == 90 + 33 * 2
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(18,6)", "float"])
+def test_amounts_are_not_rounded(spark, kind):
+    amounts = [0.004, 0.004, 1.005, 2.123456, 0.000321]
+    tx = spark.createDataFrame([(1, 10 * i, i, a, "a") for i, a in enumerate(amounts)], TX).withColumn("amount", F.col("amount").cast(kind))
+    ev = spark.createDataFrame([(1, 25, 0), (1, 45, 1)], "m long, t long, id long")
+    ps = [Primitive(k, "time", 1000) for k in ("total_amount", "mean", "max", "std")] + [Primitive("total_amount", "row", 2)]
+    got = event_features(tx, ev, ps).orderBy("id").collect()
+    rel = 1e-6 if kind == "float" else 1e-12
+    for r, x in zip(got, (amounts[:3], amounts), strict=True):
+        mean = sum(x) / len(x)
+        assert r[ps[0].name] == pytest.approx(sum(x), rel=rel) and r[ps[1].name] == pytest.approx(mean, rel=rel) and r[ps[2].name] == pytest.approx(max(x), rel=rel)
+        assert r[ps[3].name] == pytest.approx(math.sqrt(sum((v - mean) ** 2 for v in x) / len(x)), rel=1e-6)
+        assert r[ps[4].name] == pytest.approx(sum(x[-2:]), rel=rel)
+
+
+def test_inputs_with_code_columns_without_times_or_families(spark):
+    tx = spark.createDataFrame([(1, i, float(i), i % 2) for i in range(1, 7)], "m long, id long, amount double, status_code int")
+    ev = spark.createDataFrame([(1, 4, "x"), (1, 9, "y")], "m long, id long, note string")
+    coded, plain = Primitive("count_category", "row", 3, "status", 1), Primitive("count_category", "row", 3)
+    got = event_features(tx, ev, [coded, plain], keep=["note"]).orderBy("id").collect()
+    assert [(r.note, r[coded.name], r[plain.name]) for r in got] == [("x", 2.0, 3.0), ("y", 1.0, 3.0)]
+    with pytest.raises(ValueError, match="card_brand"):
+        event_features(tx, ev, [Primitive("count_category", "row", 3, "card_brand", 1)])
+
+
+def test_trailing_window_objects(spark):
+    from lagweave.functions.windows import TRAILING, Trailing
+    from lagweave.operators.rolling import aggregate
+
+    df = spark.createDataFrame([(1, 1000, 1, 1.0), (1, 1000, 2, 2.0), (1, 2000, 3, 4.0)], "m long, t long, id long, v double")
+    for window, want in ((Trailing(rows=1), [None, 1.0, 2.0]), (Trailing(micros=1000), [None, 1.0, 3.0]), (Trailing(), [None, 1.0, 3.0])):
+        assert values(df.select("id", aggregate(df, "m", "t", "id", "v", "sum", window).alias("n")), "n") == want
+    assert [Trailing(rows=5).name, Trailing(micros=DAY).name, Trailing(micros=HOUR).name, Trailing(micros=7).name, Trailing().name] == ["last_5_rows", "last_1d", "last_1h", "last_7us", "all_history"]
+    assert len(TRAILING) == len({w.name for w in TRAILING}) == 18
+    for bad in ({"rows": 0}, {"micros": -1}, {"rows": 1, "micros": 1}, {"rows": True}):
+        with pytest.raises(ValueError):
+            Trailing(**bad)
+    with pytest.raises(TypeError):
+        aggregate(df, "m", "t", "id", "v", "sum", 5)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import selection
 from ..operators import statistics as st
+from ..plans import comparison
 from .inputs import table
 
 STATUSES = ["F", "O", "P"]
@@ -72,6 +73,12 @@ def mann_whitney_u(spark, sf_dir):
     return st.rank_biserial(run_table(spark, sf_dir), "strategy", "1-URGENT", "5-LOW", "s2").select("u", F.round("effect", 8).alias("effect"), "n1", "n2")
 
 
+def strategy_pairs(spark, sf_dir):
+    """U and effect of every pair of strategies; the SQL has no error function for p-values."""
+    done = comparison.pair_tests(run_table(spark, sf_dir), "strategy", "seconds")
+    return done.select("left", "right", "n_left", "n_right", "median_left", "median_right", "u_statistic", F.round("rank_biserial", 8).alias("rank_biserial"))
+
+
 def kruskal_h(spark, sf_dir):
     done = st.kruskal(run_table(spark, sf_dir), "strategy", "seconds")
     return done.select(F.round("h", 6).alias("h"), "groups", F.col("n").cast("long").alias("n"))
@@ -121,7 +128,7 @@ def promotion_argmax(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (generation_iqr, fold_stability, candidate_outcomes_pivot, score_by_generation, cumulative_evaluations, presence_counts, diagnostics_aggregates, strategy_medians, pareto_sweep_2d,
-                                   mann_whitney_u, kruskal_h, holm_adjust, score_versus_time, importance_top20, pareto_front, archive_admission, quality_filter, proxy_shortlist_topk, promotion_argmax)}
+                                   mann_whitney_u, strategy_pairs, kruskal_h, holm_adjust, score_versus_time, importance_top20, pareto_front, archive_admission, quality_filter, proxy_shortlist_topk, promotion_argmax)}
 _DOM = "EXISTS (SELECT 1 FROM c y WHERE y.a >= x.a AND y.b >= x.b AND y.d >= x.d AND y.s <= x.s AND (y.a > x.a OR y.b > x.b OR y.d > x.d OR y.s < x.s))"
 ORACLES = {
     "generation_iqr": f"WITH {RUN_SQL} SELECT generation, count(*) AS n, quantile_cont(seconds, 0.25) AS q1, quantile_cont(seconds, 0.5) AS median, quantile_cont(seconds, 0.75) AS q3 FROM run GROUP BY generation",
@@ -137,6 +144,11 @@ ORACLES = {
     "mann_whitney_u": f"""WITH {RUN_SQL}, t AS (SELECT strategy, rank() OVER (ORDER BY s2) + (count(*) OVER (PARTITION BY s2) - 1) / 2.0 AS r FROM run WHERE strategy IN ('1-URGENT', '5-LOW')),
       s AS (SELECT sum(r) FILTER (WHERE strategy = '1-URGENT')::DOUBLE AS r, count(*) FILTER (WHERE strategy = '1-URGENT') AS n1, count(*) FILTER (WHERE strategy = '5-LOW') AS n2 FROM t)
       SELECT r - n1 * (n1 + 1) / 2 AS u, round(2 * (r - n1 * (n1 + 1) / 2) / (n1 * n2) - 1, 8) AS effect, n1, n2 FROM s""",
+    "strategy_pairs": f"""WITH {RUN_SQL}, p AS (SELECT a.strategy AS "left", b.strategy AS "right", count(DISTINCT a.idx) AS n_left, count(DISTINCT b.idx) AS n_right,
+        sum(CASE WHEN a.seconds > b.seconds THEN 1.0 WHEN a.seconds = b.seconds THEN 0.5 ELSE 0.0 END)::DOUBLE AS u FROM run a JOIN run b ON a.strategy < b.strategy GROUP BY 1, 2),
+      m AS (SELECT strategy, median(seconds) AS median FROM run GROUP BY strategy)
+      SELECT "left", "right", n_left, n_right, x.median AS median_left, y.median AS median_right, u AS u_statistic, round(2 * u / (n_left * n_right) - 1, 8) AS rank_biserial
+      FROM p JOIN m x ON x.strategy = "left" JOIN m y ON y.strategy = "right" """,
     "kruskal_h": f"""WITH {RUN_SQL}, t AS (SELECT strategy, seconds, (rank() OVER (ORDER BY seconds) + (count(*) OVER (PARTITION BY seconds) - 1) / 2.0)::DOUBLE AS r FROM run),
       k AS (SELECT strategy, sum(r) AS r, count(*) AS n FROM t GROUP BY strategy), z AS (SELECT sum(c::DOUBLE * c * c - c) AS ties FROM (SELECT count(*) AS c FROM t GROUP BY seconds)),
       s AS (SELECT sum(n)::DOUBLE AS n, sum(r * r / n) AS q, count(*) AS groups FROM k)

@@ -1,21 +1,26 @@
 """Commands: preprocess, sort-transactions, sort-dataset, encode, materialize, search, analyze,
-report, runs, validate.  Exit codes: 0 passed, 1 a check failed, 2 usage, 130 interrupted."""
+report, compare, runs, validate.  Exit codes: 0 passed, 1 a check failed, 2 usage, 130 interrupted."""
 
 from __future__ import annotations
 
 import argparse
 import os
 import sys
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from .functions.windows import FAMILIES
 from .operators import encoding, preprocess, validation
-from .plans.archive import Archive
+from .plans.archive import Archive, Member
+from .plans.bundle import Bundle, Lifecycle, open_bundle
+from .plans.cache import FeatureCache
+from .plans.comparison import comparison_report, run_rows
+from .plans.expressions import from_document
 from .plans.final import additive_report, forest_report
-from .plans.report import verify_bundle, write_manifest, write_report
+from .plans.report import final_tables, write_final, write_report
 from .plans.scoring import Evaluator
-from .plans.search import STRATEGIES, Search
+from .plans.search import CANDIDATES, GENERATIONS, STRATEGIES, UNBOUND, Batch, Search
 from .plans.tracking import RunCatalog
 from .session import build_session
 from .sources import tables
@@ -51,37 +56,50 @@ def _codes(folder):
 
 
 def _search(spark, a) -> None:
+    """A search in a staging folder that becomes the run's folder when it is done."""
     catalog = RunCatalog(a.catalog)
     run_id = catalog.create(a.strategy, a.seed, a.group, {"seconds": a.seconds, "size": a.size, "depth": a.depth})
-    folder = f"{a.output}/{run_id}"
+    bundle = Bundle(f"{a.output}/{run_id}", run_id, a.strategy)
     try:
-        tx, events = _tx_and_events(spark, a.input)
         mapping, codes = _codes(a.input)
-        search = Search.build(a.strategy, Evaluator(tx, events, codes), a.size, a.depth, a.seed)
-        search.run(a.seconds, a.generations)
-        search.save(spark, folder, mapping)
-        write_manifest(folder, run_id, a.strategy, {"mapping": f"{a.input}/mapping.json"}, {"seed": a.seed})
+        lifecycle = Lifecycle(bundle.staging, mapping, CANDIDATES.names, GENERATIONS.names)
+        if a.strategy == UNBOUND:
+            batch = Batch(codes, a.size, a.depth)
+            batch.run(lifecycle)
+            batch.save(str(bundle.staging))
+        else:
+            tx, events = _tx_and_events(spark, a.input)
+            search = Search.build(a.strategy, Evaluator(tx, events, codes, cache=FeatureCache(a.cache) if a.cache else None), a.size, a.depth, a.seed)
+            search.run(a.seconds, a.generations, lifecycle)
+            search.save(spark, str(bundle.staging), mapping, rows=False)
+            search.evaluator.close()
+        bundle.publish({"mapping": f"{a.input}/mapping.json"}, {"seed": a.seed})
         catalog.move(run_id, "search_complete")
-    except KeyboardInterrupt:
-        catalog.move(run_id, "interrupted")
-        raise
-    except Exception as error:
-        catalog.move(run_id, "search_failed", str(error))
+    except BaseException as error:
+        bundle.fail(error)
+        catalog.move(run_id, *(("interrupted",) if isinstance(error, KeyboardInterrupt) else ("search_failed", str(error))))
         raise
     print(run_id)
 
 
 def _analyze(spark, a) -> None:
+    """Final evaluation of a finished search, or again of one whose analysis failed."""
     catalog = RunCatalog(a.catalog)
+    catalog.require(a.run, ("search_complete", "analysis_failed"), "analyze")
     try:
-        folder = f"{a.output}/{a.run}"
-        if changed := verify_bundle(folder):
-            raise ValueError(f"changed since the search: {', '.join(changed)}")
+        folder = open_bundle(f"{a.output}/{a.run}")
         tx, events = _tx_and_events(spark, a.input)
         mapping, codes = _codes(a.input)
-        trees = [m.expr for m in Archive.from_document(tables.read_json(f"{folder}/archive.json"), mapping).members]
+        if (folder / "expressions.json").exists():
+            members = [Member(from_document(d), []) for d in tables.read_json(folder / "expressions.json")]
+        else:
+            members = list({m.key: m for m in Archive.from_document(tables.read_json(folder / "archive.json"), mapping).members}.values())
+        trees = [m.expr for m in members]
         forest, additive = forest_report(tx, events, trees, codes, n_trees=a.trees), additive_report(tx, events, trees, codes)
-        catalog.log_metrics(a.run, {"forest_test_auc": forest["test_auc"], "additive_test_auc": additive["test_auc"]})
+        metrics = {"forest_train_auc": forest["train_auc"], "forest_test_auc": forest["test_auc"], "additive_train_auc": additive["train_auc"], "additive_test_auc": additive["test_auc"]}
+        rows = events.filter("split = 'train'").count()
+        write_final(folder, final_tables(spark, forest, members, codes, rows), {**metrics, "correlation_training_row_count": rows}, force=True)
+        catalog.log_metrics(a.run, metrics)
         catalog.move(a.run, "complete")
         print(f"forest\t{forest['test_auc']:.6f}\nadditive\t{additive['test_auc']:.6f}")
     except Exception as error:
@@ -158,12 +176,13 @@ def parser() -> argparse.ArgumentParser:
     e = command("encode", "transactions", "mapping", "dataset?", "output?", force=True)
     e.add_argument("action", choices=("fit", "encode"))
     command("materialize", "input", "output", force=True)
-    s = command("search", "input", "output", "catalog", "group?")
-    s.add_argument("--strategy", choices=STRATEGIES, default="gp_active")
+    s = command("search", "input", "output", "catalog", "group?", "cache?")
+    s.add_argument("--strategy", choices=(*STRATEGIES, UNBOUND), default="gp_active")
     for name, kind, value in (("seed", int, 42), ("seconds", float, 600.0), ("size", int, 50), ("depth", int, 4), ("generations", int, None)):
         s.add_argument(f"--{name}", type=kind, default=value)
     command("analyze", "input", "output", "catalog", "run").add_argument("--trees", type=int, default=500)
-    command("report", "output", "run")
+    command("report", "output", "run", "catalog?")
+    command("compare", "input", "output?").add_argument("--metric", default="test_roc_auc")
     command("runs", "catalog").add_argument("--limit", type=int, default=20)
     v = command("validate", "input?", "transactions?", "transformed?", "merchants?", "columns?")
     v.add_argument("check", choices=("merchants-code-mismatches", "merchants-multiple-codes", "column-lengths", "null-percentages", "nulls-transactions", "transactions-sorted"))
@@ -197,7 +216,14 @@ def run(spark, argv: list[str]) -> int:
         _search(spark, a)
     elif a.command == "analyze":
         _analyze(spark, a)
+    elif a.command == "compare":
+        text = comparison_report(run_rows(spark, a.input, a.metric))
+        print(text, end="")
+        if a.output:
+            Path(a.output).write_text(text, encoding="utf-8")
     elif a.command == "report":
+        if a.catalog:
+            RunCatalog(a.catalog).require(a.run, ("complete",), "report")
         print(write_report(spark, f"{a.output}/{a.run}"))
     elif a.command == "runs":
         for r in RunCatalog(a.catalog).search(spark, max_results=a.limit).collect():

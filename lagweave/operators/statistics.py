@@ -80,12 +80,12 @@ def rank_biserial(df: DataFrame, group: str, first: str, second: str, value: str
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(h, groups, n) corrected for ties."""
+    """(h, groups, n) corrected for ties; h is null where all values are equal."""
     ranked = average_ranks(df.filter(F.col(value).isNotNull()), value, "rank")
     by = ranked.groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("n"))
     ties = ranked.groupBy(value).agg(F.count("*").alias("t")).agg(F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("ties")).first()[0] or 0.0
     n = F.sum("n").cast("double")
-    h = (12.0 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("n")) - 3 * (n + 1)) / (1 - F.lit(ties) / (n * n * n - n))
+    h = (12.0 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("n")) - 3 * (n + 1)) / F.nullif(1 - F.lit(ties) / F.nullif(n * n * n - n, F.lit(0.0)), F.lit(0.0))
     return by.agg(h.alias("h"), F.count("*").alias("groups"), F.sum("n").alias("n"))
 
 

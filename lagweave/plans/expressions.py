@@ -206,11 +206,11 @@ def key(e: Expr) -> str:
     return json.dumps(to_document(e), sort_keys=True, separators=(",", ":"))
 
 
-def feature_frame(tx: DataFrame, events: DataFrame, trees: list[Expr], codes: CodeLists, keep: Iterable[str] = (), names: list[str] | None = None) -> DataFrame:
+def feature_frame(tx: DataFrame, events: DataFrame, trees: list[Expr], codes: CodeLists, keep: Iterable[str] = (), names: list[str] | None = None, source=event_features) -> DataFrame:
     """One row per event with a column ``x0``, ``x1``, ... (or ``names``) per tree; the windows of
-    all trees come from one pass."""
+    all trees come from one pass, or from another ``source`` such as a cache's ``features``."""
     names = names or [f"x{i}" for i in range(len(trees))]
-    base = event_features(tx, events, dependencies(trees, codes).values(), keep)
+    base = source(tx, events, dependencies(trees, codes).values(), keep)
     return base.select("id", *keep, *(e.column(codes)[0].cast("double").alias(n) for e, n in zip(trees, names, strict=True)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html
 import json
+import math
 import os
 import uuid
 from datetime import UTC, datetime
@@ -12,9 +13,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import statistics as st
-from ..sources.tables import read_csv, write_json
+from ..sources.tables import read_csv, read_json, write_csv, write_json
+from .expressions import to_document
 from .search import CANDIDATES, GENERATIONS
 
 FOLDS = ["Split1", "Split2", "Split3"]
@@ -54,6 +57,51 @@ def verify_bundle(folder: str | Path) -> list[str]:
     return [n for n, digest in stated.items() if not (folder / n).exists() or fingerprint(folder / n) != digest]
 
 
+# The columns of the final evaluation's tables.
+FINAL = {
+    "features": "feature_id string, feature_label string, search_fold_1 double, search_fold_2 double, search_fold_3 double",
+    "importances": "feature_id string, feature_label string, importance_mean double, importance_std double",
+    "correlations": "feature_id string, feature_label string, other_feature_id string, other_feature_label string, spearman double, training_row_count long",
+    "timings": "feature_id string, feature_label string, materialization_seconds double",
+}
+NEVER = {"model", "predictions", "accuracy"}
+
+
+def final_tables(spark: SparkSession, report: dict, members: list, codes, training_rows: int) -> dict[str, DataFrame]:
+    """The tables of a ``forest_report``: features with their search scores, importances, rank
+    correlations and costs.  ``members`` are the archive's, in the order of the report."""
+    ids = {f"x{i}": feature_id(to_document(m.expr)) for i, m in enumerate(members)}
+    labels = {f"x{i}": m.expr.text(codes) for i, m in enumerate(members)}
+    finite = lambda v: float(v) if v is not None and math.isfinite(v) else None
+    scores = [[finite(v) for v in (list(m.objectives) + [None] * 4)[:4]] for m in members]
+    rows = {
+        "features": [(ids[x], labels[x], *s[:3]) for x, s in zip(ids, scores, strict=True)],
+        "importances": [(ids[x], labels[x], float(mean), float(std)) for x, mean, std in report["importances"]],
+        "correlations": [(ids[a], labels[a], ids[b], labels[b], finite(rho), training_rows) for a, b, rho in report["spearman"]],
+        "timings": [(ids[x], labels[x], s[3]) for x, s in zip(ids, scores, strict=True)],
+    }
+    return {name: spark.createDataFrame(rows[name], schema) for name, schema in FINAL.items()}
+
+
+def write_final(folder: str | Path, tables: dict[str, DataFrame], metrics: dict[str, float], force: bool = False) -> None:
+    """``evaluation/<table>`` as CSV and ``evaluation/metrics.json``; numbers only, no model."""
+    if set(tables) != set(FINAL):
+        raise ValueError(f"the tables are {', '.join(FINAL)}")
+    if bad := [k for k, v in metrics.items() if k in NEVER or not isinstance(v, (int, float)) or not math.isfinite(v)]:
+        raise ValueError(f"no metrics: {', '.join(sorted(bad))}")
+    for name, df in tables.items():
+        write_csv(df.coalesce(1), Path(folder) / "evaluation" / name, T._parse_datatype_string(FINAL[name]), force)
+    write_json(Path(folder) / "evaluation" / "metrics.json", {"format": "lagweave-final-evaluation", "schema_version": 1, **metrics}, force)
+
+
+def read_final(spark: SparkSession, folder: str | Path) -> tuple[dict[str, DataFrame], dict]:
+    """The tables, with their headers checked, and the metrics."""
+    metrics = read_json(Path(folder) / "evaluation" / "metrics.json")
+    if not isinstance(metrics, dict) or metrics.get("format") != "lagweave-final-evaluation" or metrics.get("schema_version") != 1 or NEVER & set(metrics):
+        raise ValueError("not the metrics of a final evaluation")
+    return {n: read_csv(spark, Path(folder) / "evaluation" / n, T._parse_datatype_string(s)) for n, s in FINAL.items()}, metrics
+
+
 def figure_tables(candidates: DataFrame, generations: DataFrame, importances: DataFrame | None = None, spearman: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables of the eleven figures; those without data are left out."""
     scored = candidates.filter("Status = 'evaluated'")

@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from ..sources.tables import write_csv, write_json
 from .archive import ActiveSet, Archive, Member
-from .expressions import Expr, dependencies, key
+from .expressions import Expr, dependencies, key, to_document
 from .scoring import Evaluator, MaterializationError
-from .strategies import Enumerative, Genetic, RandomTrees
+from .strategies import Enumerative, Genetic, RandomTrees, unique_expressions
 
 S, D, L = T.StringType(), T.DoubleType(), T.LongType()
 # The columns of the life-cycle tables.
@@ -21,6 +21,7 @@ CANDIDATES = T.StructType([T.StructField(n, k) for n, k in (("Strategy", S), ("C
 GENERATIONS = T.StructType([T.StructField(n, k) for n, k in (("Strategy", S), ("Generation", L), ("Generated", L), ("Unique", L), ("Duplicate", L), ("Invalid", L), ("Evaluated", L), ("ArchiveSize", L), ("Added", L),
                                                              ("DurationSeconds", D), ("CumulativeRuntimeSeconds", D))])
 STRATEGIES = ("gp_active", "gp_without_active", "random", "enumerative")
+UNBOUND = "enumerative_without_archive"  # the enumeration itself, without evaluation
 
 
 @dataclass
@@ -48,11 +49,15 @@ class Search:
             generator = (RandomTrees if strategy == "random" else Genetic)(evaluator.codes, max_depth, size, seed)
         return Search(strategy, evaluator, generator, ActiveSet(evaluator, impute=impute) if strategy == "gp_active" else None)
 
-    def run(self, seconds: float | None = None, generations: int | None = None) -> Archive:
-        """Until the budget is spent or the generator is; generation 0 always runs."""
+    def run(self, seconds: float | None = None, generations: int | None = None, lifecycle=None) -> Archive:
+        """Until the budget is spent or the generator is; generation 0 always runs.  A
+        ``lifecycle`` is told of each generation when it is done."""
         begun, g, previous = time.monotonic(), 0, []
         while g == 0 or not (getattr(self.generator, "exhausted", False) or (generations is not None and g >= generations) or (seconds is not None and time.monotonic() - begun >= seconds)):
+            at = len(self.candidates)
             previous = self._generation(g, previous, begun)
+            if lifecycle:
+                lifecycle.generation(g, self.candidates[at:], self.generations[-1], self.archive)
             g += 1
         if not self.archive.members:
             raise ValueError(f"nothing was archived: {len(self.candidates)} candidates, {sum(c[10] == 'evaluated' for c in self.candidates)} evaluated")
@@ -95,10 +100,36 @@ class Search:
     def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         return spark.createDataFrame(self.candidates, CANDIDATES), spark.createDataFrame(self.generations, GENERATIONS)
 
-    def save(self, spark: SparkSession, folder: str, mapping: dict, force: bool = False) -> None:
-        candidates, generations = self.tables(spark)
-        write_csv(candidates.coalesce(1), f"{folder}/candidates", CANDIDATES, force)
-        write_csv(generations.coalesce(1), f"{folder}/generations", GENERATIONS, force)
+    def save(self, spark: SparkSession, folder: str, mapping: dict, force: bool = False, rows: bool = True) -> None:
+        """Archive and active set; with ``rows`` also the tables, unless a life cycle wrote them."""
+        if rows:
+            candidates, generations = self.tables(spark)
+            write_csv(candidates.coalesce(1), f"{folder}/candidates", CANDIDATES, force)
+            write_csv(generations.coalesce(1), f"{folder}/generations", GENERATIONS, force)
         write_json(f"{folder}/archive.json", self.archive.to_document(mapping), force)
         if self.active:
             write_json(f"{folder}/active.json", self.active.to_document(), force)
+
+
+@dataclass
+class Batch:
+    """The first ``size`` trees of the enumeration; nothing is evaluated or archived."""
+
+    codes: list
+    size: int = 100
+    max_depth: int = 4
+    observers: tuple = ()
+    expressions: list[Expr] = field(default_factory=list)
+
+    def run(self, lifecycle=None) -> list[Expr]:
+        begun = time.monotonic()
+        self.expressions = unique_expressions(self.codes, self.size, self.max_depth, self.observers)
+        took = time.monotonic() - begun
+        rows = [(UNBOUND, i, 0, e.text(self.codes), ";".join(sorted(dependencies([e], self.codes))), None, None, None, None, False, "generated", None) for i, e in enumerate(self.expressions)]
+        if lifecycle:
+            n = len(rows)
+            lifecycle.generation(0, rows, (UNBOUND, 0, n, n, 0, 0, 0, 0, 0, took, took), None)
+        return self.expressions
+
+    def save(self, folder: str) -> None:
+        write_json(f"{folder}/expressions.json", [to_document(e) for e in self.expressions])

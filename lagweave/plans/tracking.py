@@ -21,6 +21,10 @@ MOVES = {"running": {"search_failed", "interrupted", "search_complete", "analysi
 COLUMNS = "run_id string, strategy string, seed long, grp string, state string, error string, start_time double, params map<string,string>, metrics map<string,double>"
 
 
+class RunStateError(ValueError):
+    """An action that the state of its run does not allow."""
+
+
 class RunCatalog:
     def __init__(self, root: str | Path):
         self.root = Path(root)
@@ -47,6 +51,12 @@ class RunCatalog:
             raise ValueError(f"a run cannot go from {now} to {state}")
         self._update(run_id, state=state, error=error)
 
+    def require(self, run_id: str, states: tuple[str, ...], action: str) -> None:
+        """Recovery acts only on runs it applies to."""
+        now = self.get(run_id)["state"]
+        if now not in states:
+            raise RunStateError(f"{action} needs a run in state {' or '.join(states)}; {run_id} is in state {now}")
+
     def log_metrics(self, run_id: str, metrics: dict[str, float]) -> None:
         self._update(run_id, metrics=self.get(run_id)["metrics"] | {k: float(v) for k, v in metrics.items()})
 

@@ -28,7 +28,8 @@ def feature_table(spark, sf_dir):
 
 
 def train_folds(spark, sf_dir):
-    return ev.assign_folds(feature_table(spark, sf_dir).filter("split = 'train'"), FOLDS)
+    train = feature_table(spark, sf_dir).filter("split = 'train'")
+    return ev.assign_folds(train, FOLDS)
 
 
 def ts_folds(spark, sf_dir):
@@ -47,10 +48,12 @@ def _residuals(spark, sf_dir):
 
 
 def stump_split(spark, sf_dir):
-    """The split of the last fold's training rows on the mean amount."""
-    rows = _residuals(spark, sf_dir).filter("fold = 2 and role = 'train'")
+    """The split of the last fold's training rows on the mean amount; no row where there is none."""
+    rows = _residuals(spark, sf_dir).filter("fold = 2 and role = 'train'").persist()  # read by several jobs
     s = ev.best_split(rows, "mean_7d", "w", "r")
-    return spark.createDataFrame([tuple(None if s is None else round(s[k], 6) for k in ("threshold", "left", "right"))], "threshold double, left_value double, right_value double")
+    rows.unpersist()
+    rows = [] if s is None else [tuple(round(s[k], 6) for k in ("threshold", "left", "right"))]
+    return spark.createDataFrame(rows, "threshold double, left_value double, right_value double")
 
 
 def brier_improvement(spark, sf_dir):
@@ -68,13 +71,15 @@ def roc_auc(spark, sf_dir):
 
 def additive_scores(spark, sf_dir):
     """One stump on the whole training split, then the AUC on the test split."""
-    table = feature_table(spark, sf_dir)
+    table = feature_table(spark, sf_dir).persist()  # read by several jobs
     train = table.filter("split = 'train'")
     mean = train.agg(F.avg(F.col("label").cast("double"))).first()[0]
     p = F.lit(mean)
     rows = train.withColumn("w", newton_weight(p)).withColumn("r", newton_response(F.col("label").cast("double"), p))
     stump, _ = ev.fit_stump(rows, "mean_7d", "w", "r")
-    return ev.roc_auc(table.filter("split = 'test'").withColumn("score", F.round(ev.SHRINKAGE * stump, 8)), "label", "score").select(F.round("auc", 8).alias("test_auc"))
+    done = ev.roc_auc(table.filter("split = 'test'").withColumn("score", F.round(ev.SHRINKAGE * stump, 8)), "label", "score").select(F.round("auc", 8).alias("test_auc")).collect()
+    table.unpersist()
+    return spark.createDataFrame(done, "test_auc double")
 
 
 def spearman_matrix(spark, sf_dir):
@@ -88,9 +93,11 @@ def pearson_filter(spark, sf_dir):
 
 
 def residual_fitness(spark, sf_dir):
-    """Brier gains of a shrunken stump per fold (no SQL: a stump per fold)."""
-    gains = ev.residual_gains(train_folds(spark, sf_dir).persist(), "mean_7d")
-    return spark.createDataFrame([(k, g) for k, g in enumerate(gains)], "fold int, gain double")
+    """Brier gains of a shrunken stump per fold."""
+    folds = train_folds(spark, sf_dir).persist()
+    gains = ev.residual_gains(folds, "mean_7d")
+    folds.unpersist()
+    return spark.createDataFrame([(k, round(g, 8)) for k, g in enumerate(gains)], "fold int, gain double")
 
 
 def rf_fitness(spark, sf_dir):
@@ -104,7 +111,7 @@ def rf_fitness(spark, sf_dir):
 
 
 def final_rf_importances(spark, sf_dir):
-    model = forest.fit_forest(feature_table(spark, sf_dir).filter("split = 'train'"), list(FEATURES), trees=100, depth=10, most_rows=100_000)
+    model = forest.fit_forest(feature_table(spark, sf_dir).filter("split = 'train'"), list(FEATURES), trees=500, depth=10, most_rows=100_000)
     return spark.createDataFrame(forest.importances(model, list(FEATURES)), "feature string, importance double, deviation double")
 
 
@@ -127,7 +134,18 @@ ORACLES = {
       SELECT fold, round(b, 8) AS baseline, round(c, 8) AS corrected, round(CASE WHEN b > 1e-12 THEN 1 - c / b ELSE 0 END, 6) AS gain FROM q""",
     "roc_auc": f"{_HEAD}, q AS (SELECT count_total AS x, label FROM e), {_AUC.format(out='auc')}",
     "additive_scores": f"""{_HEAD}, m AS (SELECT avg(label::DOUBLE) AS p FROM e WHERE split = 'train'), {_Z.format(rows="e, m WHERE split = 'train'")}, {_SPLIT.format(x='mean_7d')},
-      q AS (SELECT round(0.2 * CASE WHEN CAST(CAST(mean_7d AS FLOAT) AS DOUBLE) <= (x + nx) / 2 THEN sl / wl ELSE (st - sl) / (wt - wl) END, 8) AS x, label FROM e, best WHERE split = 'test'), {_AUC.format(out='test_auc')}""",
+      q AS (SELECT round(0.2 * CASE WHEN x IS NULL THEN 0 WHEN CAST(CAST(mean_7d AS FLOAT) AS DOUBLE) <= (x + nx) / 2 THEN sl / wl ELSE (st - sl) / (wt - wl) END, 8) AS x, label FROM e LEFT JOIN best ON true WHERE split = 'test'), {_AUC.format(out='test_auc')}""",
+    "residual_fitness": f"""{_HEAD}, {FOLD_SQL}, {BASE_SQL}, {_Z.format(rows="a JOIN base USING (fold)")},
+      u AS (SELECT fold, CAST(CAST(mean_7d AS FLOAT) AS DOUBLE) AS x, count(*) AS n, sum(w) AS w, sum(w * r) AS s FROM z WHERE role = 'train' GROUP BY 1, 2),
+      c AS (SELECT fold, x, lead(x) OVER o AS nx, sum(n) OVER o AS nl, sum(w) OVER o AS wl, sum(s) OVER o AS sl, sum(n) OVER (PARTITION BY fold) AS nt, sum(w) OVER (PARTITION BY fold) AS wt, sum(s) OVER (PARTITION BY fold) AS st
+        FROM u WINDOW o AS (PARTITION BY fold ORDER BY x)),
+      best AS (SELECT *, sl * sl / wl + (st - sl) * (st - sl) / (wt - wl) AS gain FROM c WHERE nl >= 150 AND nt - nl >= 150
+        QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(sl * sl / wl + (st - sl) * (st - sl) / (wt - wl), 9) DESC, x) = 1),
+      t AS (SELECT fold, stddev_pop(mean_7d) AS sd, sum(w * r) / sum(w) AS mean FROM z WHERE role = 'train' GROUP BY fold),
+      v AS (SELECT z.fold, label, p, ln(p / (1 - p)) + 0.2 * CASE WHEN sd < 1e-8 THEN 0 WHEN x IS NULL THEN t.mean WHEN CAST(CAST(mean_7d AS FLOAT) AS DOUBLE) <= (x + nx) / 2 THEN sl / wl ELSE (st - sl) / (wt - wl) END AS lg
+        FROM z JOIN t ON t.fold = z.fold LEFT JOIN best ON best.fold = z.fold WHERE role = 'valid'),
+      q AS (SELECT fold, avg((label - p) * (label - p)) AS b, avg((label - 1 / (1 + exp(-lg))) * (label - 1 / (1 + exp(-lg)))) AS c FROM v GROUP BY fold)
+      SELECT fold, round(CASE WHEN b > 1e-12 THEN 1 - c / b ELSE 0 END, 8) AS gain FROM q""",
     "spearman_matrix": f"{_HEAD}, k AS (SELECT {_RANKS} FROM e) " + " UNION ALL ".join(f"SELECT '{a}' AS left_feature, '{b}' AS right_feature, round(corr({a}, {b}), 8) AS rho FROM k" for a in FEATURES for b in FEATURES),
     "pearson_filter": f"{_HEAD} " + " UNION ALL ".join(f"SELECT '{n}' AS reference, round(abs(corr(mean_7d, {n})), 8) AS r, abs(corr(mean_7d, {n})) + 1e-12 >= 0.85 AS rejected FROM e" for n in FEATURES if n != "mean_7d"),
 }

@@ -161,6 +161,8 @@ class WordEncoder:
         self.inner = Tokenizer.from_file(path)
         added = sorted(t.content for t in self.inner.get_added_tokens_decoder().values())
         self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
+        # a text without these pieces, which have no case, holds no added token
+        self.pieces = {max(re.split("[^\\W\\d_]+", t), key=len) for t in added}
         self.tokenize = self.inner.model.tokenize
         self.mark = self._piped(self.SEPARATOR)
         self.limit, self.seen, self.tails, self.chars = limit, {}, {b"": b""}, byte_characters()
@@ -208,13 +210,13 @@ class WordEncoder:
             self.seen[word] = np.array(self._piped(word.decode("utf-8")), "<u4").tobytes()
 
     def _whole(self, text: str | None) -> bool:
-        return not self.by_word or bool(text and self.added and self.added.search(text))
+        return not self.by_word or bool(text and self.added and any(p in text for p in self.pieces) and self.added.search(text))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = []
-        for text in texts:
-            if self._whole(text):
+        split, whole = [], list(map(self._whole, texts))
+        for text, alone in zip(texts, whole, strict=True):
+            if alone:
                 split.append([])
                 continue
             raw = (text or "").encode("utf-8")
@@ -226,7 +228,7 @@ class WordEncoder:
         if new:
             self._learn(list(new))
         get = self.seen.__getitem__
-        return [np.array(self._piped(text or ""), "<u4").tobytes() if self._whole(text) else b"".join(map(get, words)) for text, words in zip(texts, split, strict=True)]
+        return [np.array(self._piped(text or ""), "<u4").tobytes() if alone else b"".join(map(get, words)) for text, alone, words in zip(texts, whole, split, strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}

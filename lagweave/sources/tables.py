@@ -21,37 +21,74 @@ def require_columns(df: DataFrame, names: Iterable[str], what: str = "input") ->
 
 
 def read_parquet(spark: SparkSession, path: str | os.PathLike) -> DataFrame:
+    """A table; one whose rewrite was interrupted between its two renames is put back first."""
     path = str(path)
-    if "://" not in path and not os.path.exists(path):
+    recover_rewrite(spark, path)
+    fs, at = _store(spark, path)
+    if not any(c in path for c in "*?[{") and not fs.exists(at):
         raise FileNotFoundError(path)
     return spark.read.parquet(path)
 
 
-def guard_output(path: str | os.PathLike, force: bool, inputs: Iterable[str | os.PathLike] = ()) -> None:
-    """Refuse an output that is an input, and an existing one without ``force``."""
-    if any(os.path.abspath(path) == os.path.abspath(p) for p in inputs):
+def _store(spark: SparkSession, path: str | os.PathLike):
+    """The Hadoop file system of a path, whatever store it is in, and the path in full."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(str(path) if "://" in str(path) else os.path.abspath(path))
+    fs = at.getFileSystem(context._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(at)
+
+
+def guard_output(path: str | os.PathLike, force: bool, inputs: Iterable[str | os.PathLike] = (), spark: SparkSession | None = None) -> None:
+    """Refuse an output that is an input, and an existing one without ``force``.  With a session
+    the path's own store is asked, else the local disk."""
+    if spark is None:
+        same = any(os.path.abspath(path) == os.path.abspath(p) for p in inputs)
+        there = os.path.exists(path)
+    else:
+        fs, at = _store(spark, path)
+        same = any(at.equals(_store(spark, p)[1]) for p in inputs)
+        there = fs.exists(at)
+    if same:
         raise ValueError(f"input and output are the same: {path}")
-    if os.path.exists(path) and not force:
+    if there and not force:
         raise FileExistsError(f"{path} exists; use force to replace it")
 
 
 def write_parquet(df: DataFrame, path: str | os.PathLike, force: bool = False, inputs: Iterable = ()) -> None:
-    guard_output(path, force, inputs)
+    guard_output(path, force, inputs, df.sparkSession)
     df.write.mode("overwrite" if force else "errorifexists").option("compression", "zstd").parquet(str(path))
 
 
 def rewrite_parquet(df: DataFrame, path: str | os.PathLike) -> None:
-    """Replace a table that ``df`` may read: write beside it, then swap by renames."""
-    path = str(path)
-    staged, old = f"{path}.{uuid.uuid4().hex}.tmp", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.option("compression", "zstd").parquet(staged)
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(conf)
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    fs.rename(at(staged), at(path))
-    fs.delete(at(old), True)
+    """Replace a table that ``df`` may read: write beside it, then swap by two renames.  If the
+    second fails the old table comes back; if the program ends between them, the next
+    ``read_parquet`` or rewrite of the path puts it back."""
+    spark, path = df.sparkSession, str(path)
+    recover_rewrite(spark, path)
+    fs, at = _store(spark, path)
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    staged, old = part(f"{at}.{uuid.uuid4().hex}.tmp"), part(f"{at}.{uuid.uuid4().hex}.old")
+    df.write.option("compression", "zstd").parquet(staged.toString())
+    had = fs.exists(at)
+    if had and not fs.rename(at, old):
+        fs.delete(staged, True)
+        raise OSError(f"{path} cannot be moved aside")
+    if not fs.rename(staged, at):
+        if had:
+            fs.rename(old, at)
+        raise OSError(f"{path} cannot be replaced")
+    if had:
+        fs.delete(old, True)
+
+
+def recover_rewrite(spark: SparkSession, path: str | os.PathLike) -> bool:
+    """Put back the table that an interrupted rewrite moved aside, if nothing took its place."""
+    fs, at = _store(spark, path)
+    if any(c in str(path) for c in "*?[{") or fs.exists(at) or at.getParent() is None or not fs.exists(at.getParent()):
+        return False
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    left = fs.globStatus(part(f"{at}.*.old"))
+    return bool(len(left) == 1 and fs.rename(left[0].getPath(), at))
 
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
@@ -139,10 +176,16 @@ def dataset_paths(folder: str | os.PathLike, recursive: bool = False) -> list[Pa
 def write_csv(df: DataFrame, path: str | os.PathLike, schema: T.StructType, force: bool = False) -> None:
     if df.columns != schema.names:
         raise ValueError(f"expected columns {schema.names}, got {df.columns}")
-    guard_output(path, force)
+    guard_output(path, force, (), df.sparkSession)
     df.write.mode("overwrite" if force else "errorifexists").option("header", True).csv(str(path))
 
 
+def as_numbers(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Columns as finite doubles; text that is no number, and what is not finite, becomes null."""
+    value = lambda c: F.expr(f"try_cast(`{c}` AS DOUBLE)")
+    return df.withColumns({c: F.when(~F.isnan(value(c)) & (F.abs(value(c)) < float("inf")), value(c)) for c in columns})
+
+
 def read_csv(spark: SparkSession, path: str | os.PathLike, schema: T.StructType) -> DataFrame:
     """The header must be that of the schema, name by name."""
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(str(path))

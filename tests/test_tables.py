@@ -93,6 +93,25 @@ def test_rewrite_in_place(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["t.parquet"]
 
 
+def test_interrupted_rewrite_is_put_back(spark, tmp_path):
+    path = tmp_path / "t.parquet"
+    spark.range(5).write.parquet(str(path))
+    path.rename(tmp_path / "t.parquet.abc.old")  # as if the program had ended between the renames
+    assert tables.read_parquet(spark, path).count() == 5 and path.exists()
+    tables.rewrite_parquet(spark.range(3).toDF("id"), path)
+    assert tables.read_parquet(spark, path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["t.parquet"]
+    assert not tables.recover_rewrite(spark, tmp_path / "other.parquet")
+    with pytest.raises(FileExistsError):
+        tables.write_parquet(spark.range(1).toDF("id"), f"file://{path}")
+    with pytest.raises(ValueError):
+        tables.write_parquet(spark.range(1).toDF("id"), path, True, [f"file://{path}"])
+
+
+def test_text_is_coerced(spark):
+    df = spark.createDataFrame([("1.5",), ("x",), ("NaN",), ("inf",), (None,), ("-2",)], "a string")
+    assert [r.a for r in tables.as_numbers(df, ["a"]).collect()] == [1.5, None, None, None, None, -2.0]
+
+
 def test_commands(spark, tmp_path, capsys):
     n = 40
     day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * i)
@@ -116,5 +135,11 @@ def test_commands(spark, tmp_path, capsys):
     run_id = capsys.readouterr().out.strip().splitlines()[-1]
     assert cli.run(spark, ["report", "--output", f"{tmp_path}/runs", "--run", run_id]) == 0
     assert cli.run(spark, ["analyze", *args, "--run", run_id, "--trees", "3"]) == 0
+    with pytest.raises(ValueError, match="complete"):  # its analysis is done
+        cli.run(spark, ["analyze", *args, "--run", run_id, "--trees", "3"])
+    assert cli.run(spark, ["report", "--output", f"{tmp_path}/runs", "--run", run_id, "--catalog", f"{tmp_path}/catalog"]) == 0
+    assert (tmp_path / "runs" / run_id / "evaluation" / "metrics.json").exists() and (tmp_path / "runs" / run_id / "snapshots").exists()
+    assert cli.run(spark, ["search", *args, "--strategy", "enumerative_without_archive", "--size", "3", "--cache", f"{tmp_path}/cache"]) == 0
+    capsys.readouterr()
     cli.run(spark, ["runs", "--catalog", f"{tmp_path}/catalog"])
     assert f"{run_id}\tenumerative\tcomplete\t42" in capsys.readouterr().out

@@ -11,13 +11,16 @@ the outer radius are compared.  No pair leaves a task unless it is an edge of a
 
 Which fingerprints meet is decided by ``bands``: each is a hash of ``ROWS`` minima of the
 shingles' hashes, so texts that share 0.8 of them agree in one band at least with a
-probability of 0.999.  Buckets are compared by carry-save counters in ``simhash``, large ones
-in tiles, and give a spanning forest of links; components are found on edges.
+probability of 0.999.  Buckets of one node are left out before fingerprints move.  The others
+are compared by carry-save counters in ``simhash``, large ones in tiles, and give a spanning
+forest of links.  Sets of shingles then move only for tiles that proven links have not joined
+already; components are found on edges.
 
 Defined cases: null and blank texts have the empty set and are linked; texts of fewer words
 than a shingle are one shingle; rows without an id are in no group and stay; rows that share
-an id stay or go together; an empty table gives an empty result; further columns are kept,
-whatever their names.
+an id stay or go together; a very long text is shingled whole, and its set waits in a file of
+its task where there is no room; an empty table gives an empty result; further columns are
+kept, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from lagweave.functions.scalars import clipped_product, rate, safe_ratio, signed_log
 from lagweave.functions.windows import DAY, HOUR, KINDS, Primitive
-from lagweave.operators.asof import event_features, transaction_features, value_column
+from lagweave.operators.asof import event_features, transaction_features, union_frame, value_column
 from lagweave.operators.rolling import sliding_window
+from lagweave.operators.slices import sliced
 from lagweave.plans import expressions as ex
 
 TX = "m long, t long, id long, amount double, status string"
@@ -69,6 +70,47 @@ def test_every_kind_and_window_equals_a_naive_loop(spark, random_rows):
             assert (r[p.name] is None) if want is None else r[p.name] == pytest.approx(want, abs=1e-6), (e, p)
 
 
+@pytest.mark.parametrize("amount", ["double", "decimal(12,2)"])
+@pytest.mark.parametrize("windows", [[("time", 30 * HOUR), ("time", -1), ("row", 3), ("days", 2)], [("row", 25), ("time", -1)], [("time", 7 * HOUR)], [("time", -1)], [("row", 1)], [("days", 1)]])
+def test_hot_merchants_in_slices_equal_a_naive_loop(spark, random_rows, windows, amount):
+    """A merchant with most rows, one just hot, cold ones, one without a name; ties across cuts."""
+    rng = random.Random(5)
+    tx, ev = random_rows
+    tx = tx + [(1, rng.choice((rng.randrange(-3 * DAY, 30 * DAY), DAY, 2 * DAY + 1)), 1000 + i, rng.randrange(1, 400) / 4, rng.choice("ab")) for i in range(400)]
+    tx = tx + [(None, rng.randrange(0, 9 * DAY), 2000 + i, 1.25, "a") for i in range(90)]
+    ev = ev + [(rng.choice((1, None)), rng.choice((rng.randrange(-4 * DAY, 31 * DAY), DAY, DAY + 1)), 100 + i) for i in range(60)]
+    ps = [Primitive(k, w, n, *(("status", "a") if k.endswith("category") else ())) for k in KINDS for w, n in windows]
+    left, right = frames(spark, tx, ev)
+    cut = event_features(left.withColumn("amount", F.col("amount").cast(amount)), right, ps, hot_rows=60, slice_rows=30)
+    assert "__slice" in cut._jdf.queryExecution().analyzed().toString()
+    got = cut.orderBy("id").collect()
+    for e, r in zip(ev, got, strict=True):
+        assert r.id == e[2]
+        for p in ps:
+            want = naive(tx, e, p)
+            assert (r[p.name] is None) if want is None else r[p.name] == pytest.approx(want, abs=1e-5), (e, p)
+
+
+def test_slices_take_any_family_and_code(spark):
+    tx = spark.range(50).select(F.lit(1).cast("long").alias("m"), (F.col("id") * 10).alias("t"), "id", F.lit(1.5).alias("amount"), F.lit("a.b `c`").alias("low"))
+    p = Primitive("count_category", "time", -1, "low", "a.b `c`")
+    got = event_features(tx, tx.select("m", "t", "id"), [p], hot_rows=10, slice_rows=20)
+    (name,) = [c for c in got.columns if c != "id"]
+    assert [r[1] for r in got.orderBy("id").collect()] == [float(i) for i in range(50)] and name == p.name
+
+
+def test_slices_repeat_few_rows(spark):
+    """Many slices for short windows; a transaction is in two of them at most, an event in one."""
+    tx = spark.range(20_000).select(F.lit(1).cast("long").alias("m"), (F.col("id") * HOUR).alias("t"), "id", F.lit(1.0).alias("amount"), F.lit("a").alias("status"))
+    ps = [Primitive("max", "time", 20 * HOUR), Primitive("mean", "row", 10)]
+    frame = union_frame(tx, tx.select("m", "t", "id"))
+    cut = sliced(frame, ps, {}, 1000, 500)
+    per = {(r["__slice"], r.is_tx): r.n for r in cut.groupBy("__slice", "is_tx").agg(F.count("*").alias("n")).collect()}
+    assert len(per) == 160 and max(per.values()) < 600 and sum(n for (_, is_tx), n in per.items() if not is_tx) == 20_000
+    assert sum(n for (_, is_tx), n in per.items() if is_tx) < 30_000
+    assert sliced(frame, ps, {}, 1_000_000, 500) is None
+
+
 def test_nothing_at_or_after_the_event_matters(spark, random_rows):
     tx, ev = random_rows
     ev = [e for e in ev if e[0] == 1][:6]

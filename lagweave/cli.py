@@ -17,7 +17,7 @@ from .plans.bundle import Bundle, Lifecycle, open_bundle
 from .plans.cache import FeatureCache
 from .plans.comparison import comparison_report, run_rows
 from .plans.expressions import from_document
-from .plans.final import additive_report, forest_report
+from .plans.final import both_reports
 from .plans.report import final_tables, write_final, write_report
 from .plans.scoring import Evaluator
 from .plans.search import CANDIDATES, GENERATIONS, STRATEGIES, UNBOUND, Batch, Search
@@ -95,7 +95,7 @@ def _analyze(spark, a) -> None:
         else:
             members = list({m.key: m for m in Archive.from_document(tables.read_json(folder / "archive.json"), mapping).members}.values())
         trees = [m.expr for m in members]
-        forest, additive = forest_report(tx, events, trees, codes, n_trees=a.trees), additive_report(tx, events, trees, codes)
+        forest, additive = both_reports(tx, events, trees, codes, n_trees=a.trees)
         metrics = {"forest_train_auc": forest["train_auc"], "forest_test_auc": forest["test_auc"], "additive_train_auc": additive["train_auc"], "additive_test_auc": additive["test_auc"]}
         rows = events.filter("split = 'train'").count()
         write_final(folder, final_tables(spark, forest, members, codes, rows), {**metrics, "correlation_training_row_count": rows}, force=True)

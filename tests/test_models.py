@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lagweave.catalog import inputs
+from lagweave.operators import bagging, forest, selection
 from lagweave.operators import evaluation as ev
-from lagweave.operators import selection
 from lagweave.operators import statistics as st
 from lagweave.operators.prefix import running_max, running_sums
 from lagweave.plans import expressions as ex
@@ -235,3 +236,91 @@ def test_run_catalog(spark, tmp_path):
     assert c.download(b, "note.txt").read_text() == "x"
     c.delete(a)
     assert c.search(spark).count() == 1
+
+
+def slow_tree(rows, labels, weights, depth, leaf):
+    """The class share at each row of a tree that tries every split of every feature."""
+    weight = np.where(labels == 1, weights[1], weights[0])
+    pure = lambda m: ((weight[m] * labels[m]).sum() ** 2 + (weight[m] * (1 - labels[m])).sum() ** 2) / weight[m].sum()
+    out = np.zeros(len(rows))
+
+    def visit(mask, level):
+        out[mask] = (weight[mask] * labels[mask]).sum() / weight[mask].sum()
+        best = (1e-9, None)
+        for f in range(rows.shape[1]):
+            for cut in range(int(rows.max())):
+                left, right = mask & (rows[:, f] <= cut), mask & (rows[:, f] > cut)
+                if min(left.sum(), right.sum()) >= leaf and (gain := pure(left) + pure(right) - pure(mask)) > best[0] + 1e-9:
+                    best = (gain, (left, right))
+        if level < depth and best[1]:
+            for side in best[1]:
+                visit(side, level + 1)
+    visit(np.ones(len(rows), bool), 0)
+    return out
+
+
+@pytest.mark.parametrize(("n", "depth", "leaf"), [(1, 3, 2), (40, 1, 2), (300, 4, 7), (300, 10, 2)])
+def test_sampled_tree_equals_brute_force(n, depth, leaf):
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 12, (n, 2)).astype("u1")  # of two features both are tried
+    labels = ((rows[:, 0] > 5) ^ (rows[:, 1] > 3) ^ (rng.random(n) < 0.2)).astype("u1")
+    nodes, gained = bagging.grow(rows, labels, (0.8, 1.3), depth, leaf, rng)
+    assert np.allclose(bagging.scores(rows, [nodes]), slow_tree(rows, labels, (0.8, 1.3), depth, leaf))
+    assert (gained.sum() > 0) == (n > 1)
+
+
+def test_cuts():
+    assert bagging.cuts_between([3.0, 1.0, 2.0, 1.0], [1, 1, 1, 1]).tolist() == [1.5, 2.5]
+    assert bagging.cuts_between([7.0, 7.0], [5, 5]).tolist() == []
+    many = bagging.cuts_between(np.arange(1001.0), np.ones(1001, "i8"))
+    assert len(many) == bagging.BINS - 1 and np.diff(many).min() >= 31
+    assert bagging.cuts_between(np.arange(100.0), [10_000] + [1] * 99)[0] == 0.5
+
+
+def test_cuts_of_a_table_do_not_depend_on_its_partitions(spark):
+    made = spark.range(30_000).select((F.xxhash64("id") % 5000).cast("double").alias("a"), F.when(F.col("id") == 777, 3.0).otherwise(F.col("id") % 3).cast("double").alias("b"),
+                                      (F.col("id") % 2).alias("label"))
+    for parts in (1, 7):
+        df = made.repartition(parts)
+        model = bagging.fit(df, ["a", "b"], "label", trees=3, depth=2, leaf=2, most_rows=100, seed=1)
+        ranked = np.searchsorted(model.cuts[0], [r.a for r in df.collect()])
+        assert model.cuts[1].tolist() == [0.5, 1.5, 2.5] and len(model.shares) == 3
+        assert len(model.cuts[0]) == 31 and np.bincount(ranked).min() > 850 and np.bincount(ranked).max() < 1030
+
+
+def _labelled(spark, n):
+    x = F.xxhash64("id") % 1000 / 1000
+    return spark.range(n, numPartitions=3).select("id", x.alias("a"), F.when(F.col("id") % 7 > 0, F.xxhash64("id", F.lit(1)) % 50).cast("double").alias("b"),
+                                                  (x + F.xxhash64("id", F.lit(2)) % 100 / 300 > 0.2).cast("int").alias("label"))
+
+
+def test_bounded_forest_reads_its_rows_no_more_often_for_deeper_trees(spark):
+    df, tracker = _labelled(spark, 3000).persist(), spark.sparkContext.statusTracker()
+    jobs, _ = {}, df.count()
+    for depth in (2, 9):
+        spark.sparkContext.setJobGroup(f"forest {depth}", "")
+        model = forest.fit_forest(df, ["a", "b"], trees=30, depth=depth, most_rows=500)
+        jobs[depth] = len(tracker.getJobIdsForGroup(f"forest {depth}"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[2] == jobs[9]
+    assert forest.forest_auc(model, df, ["a", "b"]) > 0.95
+    shares = {name: mean for name, mean, _ in forest.importances(model, ["a", "b"])}
+    assert shares["a"] > 0.6 and sum(shares.values()) == pytest.approx(1)
+    df.unpersist()
+
+
+def test_bounded_forest_agrees_with_the_library(spark):
+    df = _labelled(spark, 4000)
+    train, test = df.filter("id % 3 > 0").persist(), df.filter("id % 3 = 0").persist()
+    bounded = forest.forest_auc(forest.fit_forest(train, ["a", "b"], trees=60, depth=6, leaf=2, most_rows=100_000), test, ["a", "b"])
+    assert bounded == pytest.approx(forest.forest_auc(forest.fit_forest(train, ["a", "b"], trees=60, depth=6, leaf=2), test, ["a", "b"]), abs=0.01)
+    with pytest.raises(ValueError):
+        forest.fit_forest(train.filter("label = 1"), ["a"], most_rows=10)
+
+
+def test_draws_are_bounded_whatever_the_table(spark):
+    for n, most, low, high in ((40_000, 1000, 900, 1100), (500, 1000, 400, 600)):
+        data = spark.range(n, numPartitions=4).select((F.col("id") % 9).cast("double").alias("x0"), (F.col("id") % 2).cast("double").alias("y"))
+        drawn = data.mapInArrow(bagging._drawing([np.array([2.5, 5.5])], min(1.0, most / n), 20, 1), "tree int, rows binary")
+        sums = drawn.groupBy("tree").agg(F.sum(F.length("rows")).alias("n")).collect()
+        assert len(sums) == 20 and low < sum(r.n for r in sums) / 20 < high

@@ -35,7 +35,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, release, shuffle_count
+from .shared import cut, few, release, shuffle_count
 
 # Titles by gender (n: either), particles, common given names by gender,
 # given names and syllables of replacements by script, alphabets of initials.
@@ -100,6 +100,7 @@ ENTITY = rf"{START}(?:{EMAIL}|{IBAN}|{IP6}|{IP}|{SSN}|{CARD}|{PERSON}){EDGE}|(?<
 ENTITY_OR_WORD = rf"{ENTITY}|{START}{CAPITAL}{LETTER}{{1,39}}+{EDGE}"
 
 MAX_ATTEMPTS = 20
+DRAWS = 2048  # values drawn in a task
 
 
 def _part(lit: Column, kind: Column | None, value: Column | None) -> Column:
@@ -203,16 +204,18 @@ def replacements(values: DataFrame, key: str, attempts: int = MAX_ATTEMPTS) -> D
     """(kind, canon), distinct, to (kind, canon, sur); distinct within a kind, and no value of
     the corpus.  Only clashing values are drawn again; each round is written.  What clashes
     after the last round gets a mark of kind and digest."""
-    # distinct values are few bytes and much work: spread them over all tasks
-    spread = values.repartition(shuffle_count(values.sparkSession), "kind", "canon")
-    drawn = cut(spread.select("kind", "canon", F.lit(0).alias("attempt"), _draw(F.col("kind"), F.col("canon"), F.lit(0), key).alias("sur")), "pii-values")
+    # distinct values are few bytes and much work: they are spread by their number
+    n = values.count()
+    parts = min(shuffle_count(values.sparkSession), few(n, DRAWS))
+    spread = values.repartition(parts, "kind", "canon")
+    drawn = cut(spread.select("kind", "canon", F.lit(0).alias("attempt"), _draw(F.col("kind"), F.col("canon"), F.lit(0), key).alias("sur")), "pii-values", parts)
     known = values.select(F.col("kind").alias("k"), F.col("canon").alias("c"))
     for _ in range(attempts):
         order = Window.partitionBy("kind", "sur").orderBy("attempt", "canon")
         ranked = drawn.withColumn("place", F.row_number().over(order))
         marked = ranked.join(known.withColumn("real", F.lit(True)), (F.col("kind") == F.col("k")) & (F.col("sur") == F.col("c")), "left").withColumn(
             "clash", (F.col("place") > 1) | F.coalesce("real", F.lit(False))).select("kind", "canon", "attempt", "sur", "clash")
-        checked = cut(marked, "pii-checked")
+        checked = cut(marked, "pii-checked", few(n))
         if not checked.filter("clash").limit(1).count():
             return checked.select("kind", "canon", "sur")
         again = F.col("attempt") + F.when(F.col("clash"), 1).otherwise(0)
@@ -270,16 +273,17 @@ def surrogates(docs: DataFrame, key: str, id_col="doc_id", text_col="text") -> D
     roles = every.filter(is_name).groupBy("rid", "canon").agg(F.min(F.struct(rank.alias("rank"), "kind")).alias("r")).select("rid", "canon", F.col("r.kind").alias("role"))
     named = every.filter(is_name | is_word).join(roles, ["rid", "canon"], "left").select("rid", "no", F.col("role").alias("kind"), "canon")
     other = every.filter(F.col("kind").isNull() | ~(is_name | is_word)).select("rid", "no", F.when(F.col("kind") != "initial", F.col("kind")).alias("kind"), "canon")
-    mentions = cut(named.unionByName(other), "pii-resolved")
+    n = every.count()
+    mentions = cut(named.unionByName(other), "pii-resolved", few(n))
     # a given name after a neutral title goes with the same name after others, wherever these stand
-    distinct = cut(mentions.filter("kind is not null").select("kind", "canon").distinct(), "pii-distinct")
+    distinct = cut(mentions.filter("kind is not null").select("kind", "canon").distinct(), "pii-distinct", few(n))
     gendered = distinct.filter("kind rlike '^given:[mf]:'").groupBy("canon", F.substring_index("kind", ":", -1).alias("script")).agg(F.min("kind").alias("own"))
     neutral = distinct.filter("kind like 'given:n:%'").withColumn("script", F.substring_index("kind", ":", -1)).join(gendered, ["canon", "script"], "left")
-    drawn = cut(distinct.filter("kind not like 'given:n:%'").select("kind", "canon").unionByName(neutral.filter("own is null").select("kind", "canon")), "pii-drawn")
+    drawn = cut(distinct.filter("kind not like 'given:n:%'").select("kind", "canon").unionByName(neutral.filter("own is null").select("kind", "canon")), "pii-drawn", few(n))
     table = replacements(drawn, key).select(F.col("kind").alias("k"), F.col("canon").alias("c"), "sur")
     alias = neutral.filter("own is not null").select("kind", "canon", "own")
     shared = alias.join(table, (alias["own"] == table["k"]) & (alias["canon"] == table["c"])).select(alias["kind"].alias("k"), alias["canon"].alias("c"), "sur")
-    renamed = cut(table.unionByName(shared), "pii-renamed")
+    renamed = cut(table.unionByName(shared), "pii-renamed", few(n))
     meant = mentions.filter("kind is not null")
     surs = meant.join(renamed, (meant["kind"] == renamed["k"]) & (meant["canon"] == renamed["c"])).select("rid", "no", "kind", "sur")
     none = F.lit(None).cast("string")

@@ -18,6 +18,9 @@ SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
+FEW = 8
+FILE_ROWS = 250_000  # rows of a narrow table that are worth a file
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -72,12 +75,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def few(rows: int, each: int = FILE_ROWS) -> int:
+    """Files that a narrow table of at most ``rows`` rows is worth."""
+    return max(FEW, -(-rows // each))
+
+
+def cut(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost
-    executor costs a reread, and later plans see the table's real size."""
+    executor costs a reread, and later plans see the table's real size.
+
+    ``files`` bounds the files, and the tasks that write them.  Where the folder is in Hadoop's
+    local store each file costs three launches of ``chmod``."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lagweave_path = path
     return out

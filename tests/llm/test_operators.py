@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 from lagweave.llm import attribution, bitplanes, bpe, exact, mixing, pii, quality, queries, secrets, similar, simhash, warc  # noqa: E402
+from lagweave.llm.shared import local_path  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, word string, row string, hits string"
 WORDS = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they".split()
@@ -428,6 +429,40 @@ def test_surrogates_of_very_long_texts(spark):
     assert got[1].n_entities == 1 and got[4].n_entities == 20_000
 
 
+@pytest.fixture
+def many_parts(spark):
+    """As on a cluster of many shuffle partitions that adaptive execution does not join."""
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def files_by_label(monkeypatch, *modules):
+    """The most files of any table of each label that these modules write from now on."""
+    most = Counter()
+
+    def counted(df, label, *args, cut=pii.cut):
+        out = cut(df, label, *args)
+        most[label] = max(most[label], len(list(Path(local_path(out._lagweave_path)).glob("part-*"))))
+        return out
+
+    for module in modules:
+        monkeypatch.setattr(module, "cut", counted)
+    return most
+
+
+def test_small_tables_of_surrogates_are_few_files(spark, many_parts, monkeypatch):
+    texts = [f"Mr John Smith{chr(97 + i % 26)}son wrote to user{i}@example.org from 10.{i % 200}.3.4" for i in range(400)]
+    most = files_by_label(monkeypatch, pii)
+    got = pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "k").collect()
+    assert len(got) == 400 and len({r.text for r in got}) == 400
+    assert {k: v for k, v in most.items() if v > 8} == {} and most["pii-values"] == 8
+
+
 def test_a_full_space_gives_marks(spark):
     values = spark.createDataFrame([("phone", f"{i:02d}") for i in range(100)] + [("ssn", "123456789")], "kind string, canon string")
     got = {(r.kind, r.canon): r.sur for r in pii.replacements(values, "k", attempts=2).collect()}

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, shuffle_count
+from .shared import cut, few, shuffle_count
 
 RADIUS = 4
 SEED = 42
@@ -390,11 +390,12 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 4, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fp (long), component_id."""
     slim = cut(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    nodes = cut(slim.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
-    roots = components(links(nodes.select("fp"), radius))
+    files = few(slim.count())
+    nodes = cut(slim.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes", files)
+    roots = components(links(nodes.select("fp"), radius), few((radius + 1) * nodes.count()))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     first = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     # written: the joins after it meet keys with very many rows, which AQE splits only between plain exchanges
-    first = cut(first, "simhash-first")
-    named = cut(named.join(first, "root").select("fp", "component_id"), "simhash-named")
-    return slim.join(named, "fp").select("doc_id", "fp", "component_id")
+    first = cut(first, "simhash-first", files)
+    named = cut(named.join(first, "root").select("fp", "component_id"), "simhash-named", files)
+    return slim.join(named, "fp").select("doc_id", "fp", "component_id").coalesce(files)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 from lagweave.llm import attribution, bitplanes, bpe, exact, mixing, pii, quality, queries, secrets, similar, simhash, warc  # noqa: E402
+from lagweave.llm import components as components_module  # noqa: E402
 from lagweave.llm.shared import local_path  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, word string, row string, hits string"
@@ -589,6 +590,17 @@ def test_bit_sliced_links_find_every_link(extra, spark):
                 assert any(int(fps[i]) & m == int(fps[j]) & m for m in bits)
 
 
+def test_tables_of_a_round_are_few_files(spark, many_parts, monkeypatch):
+    texts = [" ".join(f"w{i // 2}x{j}" for j in range(60)) + " end" * (i % 2) for i in range(600)]
+    most = files_by_label(monkeypatch, simhash, components_module)
+    got = simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    fps = [brute_fingerprint(t) for t in texts]
+    assert {r.doc_id: (r.fp % 2**64, r.component_id) for r in got.collect()} == dict(enumerate(zip(fps, brute_components(fps, 4), strict=True)))
+    assert len(set(brute_components(fps, 4))) < 600
+    assert {k: v for k, v in most.items() if v > 8} == {} and most["edges"] == most["simhash-nodes"] == 8
+    assert got.rdd.getNumPartitions() <= 8
+
+
 def test_large_buckets_are_tiled(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 8)
     rng = np.random.default_rng(9)

@@ -34,10 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, new_path, open_shared, publish_shared
+from .shared import cut, few, new_path, open_shared, publish_shared
 
 MAGIC = b"BPL1"
 BLOCK = 1 << 16
+READ_IDS = 1 << 26  # ids that are worth a task of reading back, of about a second
 MARKS = re.compile("[̀-ͯ]")
 # lower-case Latin-1 letters in UTF-8, then perhaps closing punctuation: such words pass the
 # normaliser unchanged and are one or two pre-tokens
@@ -277,13 +278,15 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     place = ["doc_id", F.xxhash64("text")]  # the hash deals rows of one id to several ranges
     ordered = picked.repartitionByRange(*place).sortWithinPartitions(*place)
-    return cut(ordered.mapInArrow(run, MANIFEST), "bpl-manifest")
+    # one file, behind an exchange of a row per shard: the shards are still written by all tasks
+    return cut(ordered.mapInArrow(run, MANIFEST).repartition(1), "bpl-manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """One row per document of the shards: doc_id, start, n_tokens, ids_crc32, shard.
 
-    Starts are running sums over the manifest, which has a row per shard and no more."""
+    Starts are running sums over the manifest, which has a row per shard and no more.  A task
+    reads several small shards, one after the other, since its rows may become a file."""
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = manifest.select("shard", "file", before.alias("before"))
 
@@ -300,8 +303,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)), pa.array([row["shard"]] * len(rows), pa.int32())], [*names, "shard"])
 
-    tasks = max(manifest.count(), 1)
-    return placed.repartition(tasks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
+    n = manifest.agg(F.count("*").alias("shards"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "n_ids"))).first()
+    tasks = min(n.shards, max(few(n.n_docs), -(-n.n_ids // READ_IDS)))
+    return placed.repartition(max(tasks, 1)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
 
 
 def encode_to_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, **options) -> DataFrame:

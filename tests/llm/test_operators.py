@@ -494,6 +494,22 @@ def test_shards_round_trip(spark, docs, tmp_path):
             start += len(ids)
 
 
+def test_shards_are_listed_and_read_in_few_files(spark, docs, many_parts, monkeypatch, tmp_path):
+    path, columns = public_tokenizers.path("word_bpe_49k.json"), ("doc_id", "start", "n_tokens", "ids_crc32")
+    manifest = bitplanes.write_shards(docs, f"{tmp_path}/many", path, 2)
+    shards = manifest.count()
+    assert shards == len(list((tmp_path / "many").glob("*.bpl"))) > 40
+    assert len(manifest.inputFiles()) == 1
+    got = bitplanes.read_shards(manifest)
+    assert got.rdd.getNumPartitions() == 8
+    monkeypatch.setattr(bitplanes, "READ_IDS", 1)  # much to read: a task each
+    apart = bitplanes.read_shards(manifest)
+    assert apart.rdd.getNumPartitions() == shards
+    assert by_row(got, *columns) == by_row(apart, *columns)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    assert by_row(got, *columns) == by_row(bitplanes.encode_to_shards(spark, docs, path, 2), *columns)
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 @pytest.mark.parametrize("n", [1, 7, 8, 1000])
 def test_planes(n, planes):
